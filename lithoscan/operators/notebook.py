@@ -14,7 +14,7 @@ SCHEMA = f"struct<cells:array<{_CELL}>,metadata:struct<kernelspec:struct<languag
 
 def joined(v: Column) -> Column:
     """A value that is a string or a list of strings, as one string."""
-    return F.coalesce(F.try_variant_get(v, "$", "string"), F.array_join(F.try_variant_get(v, "$", "array<string>"), ""), F.lit(""))
+    return F.coalesce(F.array_join(F.try_variant_get(v, "$", "array<string>"), ""), F.try_variant_get(v, "$", "string"), F.lit(""))
 
 
 def parse(notebooks: DataFrame) -> DataFrame:
