@@ -43,6 +43,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, a checkpoint, marked for broadcast if it has at most ``rows`` rows; else it is left to a shuffle join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that the input doesn't have (compared without case)."""
     taken = {c.lower() for c in df.columns}
@@ -147,6 +152,8 @@ def text_batches(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int,
     data, off = utf8(batch.column(batch.schema.get_field_index(column)))
     for i, j in slices(off):
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
+    del data
+    pa.default_memory_pool().release_unused()
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

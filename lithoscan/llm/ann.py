@@ -86,10 +86,10 @@ def _search(ids: np.ndarray, vecs: np.ndarray, bucket: np.ndarray, q_ids: np.nda
     best_i = np.full((len(q_ids), k), -1, np.int64)
     norm, q_norm = (vecs**2).sum(1), (q_vecs**2).sum(1)
     for s, e, a, z in zip(start, stop, lo, hi):
-        for a2 in range(a, z, 4096):
-            q = q_of[q_order[a2 : min(z, a2 + 4096)]]
-            for s2 in range(s, e, 4096):
-                m = order[s2 : min(e, s2 + 4096)]
+        for a2 in range(a, z, 1024):
+            q = q_of[q_order[a2 : min(z, a2 + 1024)]]
+            for s2 in range(s, e, 1024):
+                m = order[s2 : min(e, s2 + 1024)]
                 d = q_norm[q][:, None] + norm[m][None] - 2 * (q_vecs[q] @ vecs[m].T)
                 d[q_ids[q][:, None] == ids[m][None]] = np.inf
                 d = np.concatenate([best_d[q], d], axis=1)

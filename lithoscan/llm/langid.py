@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import checkpoint, fresh, text_batches, utf8
+from ._base import checkpoint, fresh, if_small, text_batches, utf8
 
 #: Hashed features; byte n-grams of 2 and 3, over lower-cased words with one blank between them.
 DIM = 4096
@@ -112,7 +112,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     labelled = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
     labelled = labelled.withColumn("h", F.xxhash64("text"))
     # about four times as many as needed go on to be ordered
-    part = labelled.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count("*")).alias("part"))
+    part = if_small(checkpoint(labelled.groupBy("lang").agg((F.lit(4.0 * per_language) / F.count("*")).alias("part"))))
     near = labelled.join(part, "lang").filter(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < F.col("part")).dropDuplicates(["lang", "h"])
     first = F.expr(f"transform(slice(array_sort(collect_list(struct(pmod(h, 1000003) AS m, h, text))), 1, {int(per_language)}), x -> x.text)")
     rows = sorted((r["lang"], r["t"]) for r in near.groupBy("lang").agg(first.alias("t")).collect())
@@ -181,7 +181,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = train(docs, text_col, lang_col, per_language, per_cluster)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     scored = checkpoint(score(slim, model).drop("text"))
-    f = fences(scored, spread)
+    f = if_small(checkpoint(fences(scored, spread)))
     out = scored.join(f, (F.col("lang_id") == F.col("lang__f")) & (F.col("size_class") == F.col("size__f")), "left")
     ok = F.coalesce(F.col("distance") <= F.col("fence__f"), F.lit(False))
     return out.select(F.col("id").alias(id_col), F.when(ok, F.col("lang_id")).alias("lang_id"), F.round("distance", 6).alias("distance"), ok.alias("accepted"))
@@ -191,7 +191,7 @@ def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     """The rows of ``docs`` that :func:`identify` accepts, with the columns they have. Texts aren't shuffled."""
     model = train(docs, text_col, lang_col, per_language, per_cluster)
     names = tuple(fresh(docs, "lang_id", "distance", "size_class"))
-    f = checkpoint(fences(score(docs.select(text_col), model, text_col), spread))
+    f = if_small(checkpoint(fences(score(docs.select(text_col), model, text_col), spread)))
     scored = score(docs, model, text_col, names)
     out = scored.join(f, (scored[names[0]] == f["lang__f"]) & (scored[names[2]] == f["size__f"]))
     return out.filter(scored[names[1]] <= f["fence__f"]).select(*[scored[c] for c in docs.columns])

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from ._base import checkpoint, fresh, mix, null_safe, span_hashes, text_batches
 
 PROBES = 4
+#: Rows whose texts are Python strings at once.
+ROWS = 256
 _SALT = [np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 
 
@@ -146,6 +148,40 @@ def _marked(docs: DataFrame, text_col: str, name: str, suspects) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _suspect_lines(slim: DataFrame, suspects) -> DataFrame:
+    """(id, i, line) of the suspect lines of (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = suspects.value
+        for b in batches:
+            for i, _, data, off in text_batches(b, "text"):
+                h, starts, ends, row, number = filled_lines(data, off)
+                hit = s.test(h)
+                raw = data.tobytes()
+                line = pa.array([raw[a:z] for a, z in zip(starts[hit].tolist(), ends[hit].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[hit] + i)), pa.array(number[hit], pa.int32()), line.cast(pa.string())], ["id", "i", "line"])
+
+    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, i int, line string")
+
+
+def _lines_at(marked: DataFrame) -> DataFrame:
+    """(id, i, line) of the numbered lines of (id, text, numbers)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                ids, i, line = [], [], []
+                for k, (t, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                    t = t.split("\n")
+                    ids += [k] * len(s)
+                    i += s
+                    line += [t[x] for x in s]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(i, pa.int32()), pa.array(line, pa.string())], ["id", "i", "line"])
+
+    return marked.mapInArrow(run, f"id {marked.schema['id'].dataType.simpleString()}, i int, line string")
+
+
 def _marked_by_join(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     """The same without a broadcast: hashes of lines are counted by a shuffle, then joined by id."""
     lines = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("i", "line")).filter(~F.col("line").rlike(r"^[\x00-\x20]*$"))
@@ -179,23 +215,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if total <= broadcast_bytes:
         shared = spark.sparkContext.broadcast(Suspects(segments, [(r["seg"], r["m"], bytes(r["bits"])) for r in twice.collect()]))
         mark = lambda d: _marked(d, text_col, name, shared)
+        lines = _suspect_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shared)
     else:
         mark = lambda d: _marked_by_join(d, id_col, text_col, name)
-
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, i, line = [], [], []
-            for k, (t, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                t = t.split("\n")
-                ids += [k] * len(s)
-                i += s
-                line += [t[x] for x in s]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), pa.array(i, pa.int32()), pa.array(line, pa.string())], ["id", "i", "line"])
-
-    marked = mark(docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col))).filter(F.size(name) > 0)
-    lines = marked.mapInArrow(extract, f"id {kind}, i int, line string")
+        lines = _lines_at(mark(docs.select(id_col, text_col)).filter(F.size(name) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), name))
     first = lines.groupBy("line").agg(F.min(F.struct("id", "i")).alias("at"))
     keep_name, has = fresh(docs, "kept", "kept_id")
     kept = checkpoint(first.groupBy(F.col("at.id").alias(has)).agg(F.collect_list("at.i").alias(keep_name)))
@@ -208,13 +231,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = columns.index(text_col)
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t, s, k in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (text_col, name, keep_name))):
-                gone = set(s).difference(k or ())
-                out.append("\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone]) if gone else t)
-            cols = list(b.columns[: len(columns)])
-            cols[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, columns)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                b = whole.slice(start, ROWS)
+                out = []
+                for t, s, k in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (text_col, name, keep_name))):
+                    gone = set(s).difference(k or ())
+                    out.append("\n".join([x for i, x in enumerate(t.split("\n")) if i not in gone]) if gone else t)
+                cols = list(b.columns[: len(columns)])
+                cols[at] = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, columns)
 
     return clean.unionByName(joined.mapInArrow(drop, docs.schema))

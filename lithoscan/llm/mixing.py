@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import checkpoint, fresh
+from ._base import checkpoint, fresh, if_small
 from .packing import word_count
 
 
@@ -93,19 +93,19 @@ def mix_sources(
     def place(epoch: Column, doc: Column) -> Column:
         return F.md5(F.concat_ws(":", F.lit(str(mix.seed)), epoch.cast("string"), doc))
 
-    placed = slim.join(given.filter("rest > 0").select(*leaf, "whole", "rest"), leaf).withColumn("h", place(F.col("whole"), F.col("id"))).withColumn("bucket", F.substring("h", 1, bucket_chars))
+    placed = slim.join(if_small(given).filter("rest > 0").select(*leaf, "whole", "rest"), leaf).withColumn("h", place(F.col("whole"), F.col("id"))).withColumn("bucket", F.substring("h", 1, bucket_chars))
     run = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*leaf, "bucket").agg(F.sum("n").alias("s"), F.max("rest").alias("rest"))
     sums = sums.withColumn("before", F.coalesce(F.sum("s").over(run), F.lit(0)))
-    edge = sums.filter(F.col("before") + F.col("s") > F.col("rest")).groupBy(*leaf).agg(F.min(F.struct("bucket", "before")).alias("e")).select(*leaf, F.col("e.bucket").alias("edge"), F.col("e.before").alias("before"))
-    inside = placed.join(edge, leaf).filter(F.col("bucket") == F.col("edge"))
+    edge = checkpoint(sums.filter(F.col("before") + F.col("s") > F.col("rest")).groupBy(*leaf).agg(F.min(F.struct("bucket", "before")).alias("e")).select(*leaf, F.col("e.bucket").alias("edge"), F.col("e.before").alias("before")))
+    inside = placed.join(if_small(edge), leaf).filter(F.col("bucket") == F.col("edge"))
     peers = Window.partitionBy(*leaf).orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(peers)).filter(F.col("upto") <= F.col("rest"))
     last = inside.groupBy(*leaf).agg(F.max("h").alias("last"))
     plan = given.join(edge, leaf, "left").join(last, leaf, "left").select(
         *[F.col(c).alias(f"{c}__m") for c in leaf], F.col("whole").alias("whole__m"), F.col("rest").alias("rest__m"), F.col("edge").alias("edge__m"), F.coalesce("last", "edge").alias("last__m")
     )
-    plan = checkpoint(plan)
+    plan = if_small(checkpoint(plan))
     mark = [f"{x}__d" for x in leaf]
     tagged = docs.withColumns(dict(zip(mark, key)))
     on = tagged[mark[0]] == plan["domain__m"]

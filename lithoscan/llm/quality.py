@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import checkpoint, span_hashes, text_batches, words
+from ._base import checkpoint, if_small, span_hashes, text_batches, words
 
 #: Measures, and on which side a value is suspect.
 MEASURES = {
@@ -21,7 +21,7 @@ MEASURES = {
     "digit_share": "high",  # digits among bytes that aren't blank
 }
 #: Least distance from the median at which a fence stands, so that a group of nearly equal values isn't cut.
-SLACK = {"symbol_share": 0.03, "upper_share": 0.12, "repeat_share": 0.06, "word_bytes": 2.0, "line_repeat_share": 0.35, "digit_share": 0.1}
+SLACK = {"symbol_share": 0.03, "upper_share": 0.12, "repeat_share": 0.06, "word_bytes": 2.0, "line_repeat_share": 0.35, "digit_share": 0.3}
 #: Words at the group's median that are added to a text before it is judged: a short text says little.
 PRIOR_WORDS = 25
 
@@ -123,7 +123,7 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives no rows; other columns aren't returned.
     """
     measured = checkpoint(measures(docs, id_col, text_col, lang_col, source_col))
-    t = thresholds(measured, spread)
+    t = if_small(checkpoint(thresholds(measured, spread)))
     ok = F.col("solid")
     n, k = F.col("n_words"), F.lit(PRIOR_WORDS)
     for m, side in MEASURES.items():
