@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ._base import checkpoint
 
+#: Tasks that shards are spread over at most; each then packs several shards, one by one.
+MAX_TASKS = 4096
+
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     """Best-fit decreasing: bins of indexes into ``sizes`` (each from 1 to ``capacity``)."""
@@ -186,6 +189,7 @@ def pack(
             "bin_id": pa.array(bin_id, pa.int64()), "bin_tokens": pa.array(fill, pa.int64()),
         })
 
-    sharded = slim.withColumn("shard", F.pmod(F.xxhash64("id", "n"), F.lit(shards)))
+    # a number of partitions is given, as adaptive planning would join small ones, and packing takes time for few bytes
+    sharded = slim.withColumn("shard", F.pmod(F.xxhash64("id", "n"), F.lit(shards))).repartition(min(shards, MAX_TASKS), "shard")
     out = sharded.groupBy("shard").applyInArrow(run, f"id {kind}, piece int, n_tokens bigint, bin_id bigint, bin_tokens bigint")
     return out.withColumnRenamed("id", id_col)

@@ -24,6 +24,8 @@ MEASURES = {
 SLACK = {"symbol_share": 0.03, "upper_share": 0.12, "repeat_share": 0.06, "word_bytes": 2.0, "line_repeat_share": 0.35, "digit_share": 0.3}
 #: Words at the group's median that are added to a text before it is judged: a short text says little.
 PRIOR_WORDS = 25
+#: Bytes that aren't blank and weigh as much as a word, where a text has more of them than words.
+WORD_BYTES = 12
 
 _CLASS = np.zeros(256, np.uint8)
 for _b in range(256):
@@ -38,7 +40,7 @@ def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """The MEASURES of each text; 0 where there is nothing to measure."""
+    """The MEASURES of each text, 0 where there is nothing to measure; and its weight in words."""
     kind = _CLASS[data]
     n = len(off) - 1
     solid, symbols, digits, upper, lower = (_sums(f, off) for f in (kind > 0, kind == 1, kind == 2, kind == 3, kind == 4))
@@ -64,7 +66,7 @@ def measure(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     share = lambda a, b: a / np.maximum(b, 1)
     return {
         "symbol_share": share(symbols, solid), "upper_share": share(upper, upper + lower), "repeat_share": share(_sums(same, first), np.maximum(count - 1, 0)),
-        "word_bytes": share(_sums_of(ends - starts, first), count), "n_words": count, "line_repeat_share": share(np.bincount(row, again, n), np.bincount(row, minlength=n)), "digit_share": share(digits, solid),
+        "word_bytes": share(_sums_of(ends - starts, first), count), "weight": np.maximum(count, solid // WORD_BYTES), "line_repeat_share": share(np.bincount(row, again, n), np.bincount(row, minlength=n)), "digit_share": share(digits, solid),
     }
 
 
@@ -74,9 +76,9 @@ def _sums_of(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(id_col, lang, source, solid, n_words, MEASURES) for every row."""
+    """(id_col, lang, source, solid, weight, MEASURES) for every row."""
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(text_col).alias("text"))
-    schema = f"id {slim.schema['id'].dataType.simpleString()}, lang string, source string, solid boolean, n_words bigint, " + ", ".join(f"{m} double" for m in MEASURES)
+    schema = f"id {slim.schema['id'].dataType.simpleString()}, lang string, source string, solid boolean, weight bigint, " + ", ".join(f"{m} double" for m in MEASURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,8 +87,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 part = b.slice(i, j - i)
                 solid = pa.array(_sums(_CLASS[data] > 0, off) > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], solid, pa.array(m["n_words"], pa.int64()), *[pa.array(m[k], pa.float64()) for k in MEASURES]],
-                    ["id", "lang", "source", "solid", "n_words", *MEASURES],
+                    [*part.columns[:3], solid, pa.array(m["weight"], pa.int64()), *[pa.array(m[k], pa.float64()) for k in MEASURES]],
+                    ["id", "lang", "source", "solid", "weight", *MEASURES],
                 )
 
     return slim.mapInArrow(run, schema)
@@ -115,7 +117,8 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A rule fails if a measure lies outside its fences for the row's language and source
     (:func:`thresholds`), which the measures are joined with; a text is judged as if PRIOR_WORDS
-    words at the group's median were added to it. Measures are taken once, from whole
+    words at the group's median were added to it; its own weight is its words, or one for every
+    WORD_BYTES non-blank bytes if that is more, so that symbols without words count. Measures are taken once, from whole
     texts, and only they are written and joined, never texts.
 
     Null, empty and blank texts fail. Null languages and sources form a group each (the empty
@@ -125,7 +128,7 @@ def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     measured = checkpoint(measures(docs, id_col, text_col, lang_col, source_col))
     t = if_small(checkpoint(thresholds(measured, spread)))
     ok = F.col("solid")
-    n, k = F.col("n_words"), F.lit(PRIOR_WORDS)
+    n, k = F.col("weight"), F.lit(PRIOR_WORDS)
     for m, side in MEASURES.items():
         judged = (F.col(m) * n + F.col(f"{m}__mid") * k) / (n + k)
         ok = ok & (judged <= F.col(f"{m}__high"))
