@@ -16,8 +16,8 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _churn(spark: SparkSession, d: str) -> DataFrame:
-    """Lines sold of each tenth part, as changes of its file."""
-    p = table(spark, d, "part").filter("p_partkey % 10 = 0").select("p_partkey", F.concat_ws("/", F.lower("p_type"), "p_brand", F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))).alias("path"))
+    """Lines sold of each part, as changes of its file."""
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws("/", F.lower("p_type"), "p_brand", F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))).alias("path"))
     return table(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("path").agg(F.count("*").alias("commits"), F.sum("l_quantity").cast("bigint").alias("lines"))
 
 
@@ -99,7 +99,8 @@ def traceback_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.concat(F.lit("src/p"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"))
+    """A file for each customer with a positive balance; frames of others lie outside."""
+    return table(spark, d, "customer").filter("c_acctbal > 0").select(F.concat(F.lit("src/p"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"))
 
 
 def frame_classify(spark: SparkSession, d: str) -> DataFrame:
@@ -137,12 +138,12 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _T = "tr AS (SELECT lower(p_type) || '/' || p_brand || '/' || p_name || ' ' || p_partkey AS path, lower(p_type) AS d1, lower(p_type) || '/' || p_brand AS d2, CAST(p_size AS BIGINT) AS loc, p_partkey FROM part)"
-_C = "ch AS (SELECT path, count(*) AS commits, CAST(sum(l_quantity) AS BIGINT) AS lines FROM lineitem JOIN tr ON l_partkey = p_partkey WHERE p_partkey % 10 = 0 GROUP BY path)"
+_C = "ch AS (SELECT path, count(*) AS commits, CAST(sum(l_quantity) AS BIGINT) AS lines FROM lineitem JOIN tr ON l_partkey = p_partkey GROUP BY path)"
 _UP = "up AS (SELECT d1 AS dir, path, loc, d2 AS child FROM tr UNION ALL SELECT d2, path, loc, path FROM tr)"
 _CELLS = "c AS (SELECT 'nb/' || conv_id || '.ipynb' AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, turn, conv_id, text, CASE role WHEN 'user' THEN 'code' WHEN 'assistant' THEN 'markdown' ELSE 'raw' END AS cell_type FROM conversations)"
 _FR = """fr AS (SELECT o_orderkey, unnest([0, 1, 2, 3, 5]) AS frame_no, unnest(['src/p' || o_custkey || '.py', '/repo/src/p' || o_custkey || '.py', 'Cell In[' || o_custkey || ']', 'Cell In[' || o_custkey || ']', '/usr/lib/x.py']) AS frame_path,
  unnest([o_orderkey, 12, 4, 0, 7]) AS line, unnest(['run', 'go', '', '<module>', '']) AS function, unnest([false, false, true, true, false]) AS in_cell, o_custkey FROM orders)"""
-_CLS = _FR + """, cl AS (SELECT o_orderkey, frame_no, CASE WHEN in_cell THEN 'notebook' WHEN frame_no < 2 AND o_custkey % 2 = 0 THEN 'repo' ELSE 'external' END AS type, frame_path FROM fr)"""
+_CLS = _FR + """, cl AS (SELECT o_orderkey, frame_no, CASE WHEN in_cell THEN 'notebook' WHEN frame_no < 2 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'repo' ELSE 'external' END AS type, frame_path FROM fr)"""
 
 ORACLE_SQL = {
     "dir_rollup": f"WITH {_T}, {_UP} SELECT dir, count(*) AS file_count, CAST(sum(loc) AS BIGINT) AS total_loc, count(DISTINCT child) AS direct_children, round(0.5 * (log2(1 + count(*)) + log2(1 + sum(loc) / 100)), 6) AS importance FROM up GROUP BY dir",
