@@ -102,16 +102,18 @@ def mix_sources(
     peers = Window.partitionBy(*leaf).orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
     inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(peers)).filter(F.col("upto") <= F.col("rest"))
     last = inside.groupBy(*leaf).agg(F.max("h").alias("last"))
+    mark = fresh(docs, *[f"{x}__d" for x in leaf])
+    at = fresh(docs, *[f"{x}__m" for x in leaf])
+    whole, rest, bound = fresh(docs, "whole__m", "rest__m", "last__m")
     plan = given.join(edge, leaf, "left").join(last, leaf, "left").select(
-        *[F.col(c).alias(f"{c}__m") for c in leaf], F.col("whole").alias("whole__m"), F.col("rest").alias("rest__m"), F.col("edge").alias("edge__m"), F.coalesce("last", "edge").alias("last__m")
+        *[F.col(c).alias(a) for c, a in zip(leaf, at)], F.col("whole").alias(whole), F.col("rest").alias(rest), F.coalesce("last", "edge").alias(bound)
     )
     plan = if_small(checkpoint(plan))
-    mark = [f"{x}__d" for x in leaf]
     tagged = docs.withColumns(dict(zip(mark, key)))
-    on = tagged[mark[0]] == plan["domain__m"]
-    for a, b in zip(mark[1:], leaf[1:]):
-        on = on & (tagged[a] == plan[f"{b}__m"])
+    on = tagged[mark[0]] == plan[at[0]]
+    for m, a in zip(mark[1:], at[1:]):
+        on = on & (tagged[m] == plan[a])
     joined = tagged.join(plan, on)
-    times = F.col("whole__m") + F.when((F.col("rest__m") > 0) & (place(F.col("whole__m"), ident) <= F.col("last__m")), 1).otherwise(0)
+    times = F.col(whole) + F.when((F.col(rest) > 0) & (place(F.col(whole), ident) <= F.col(bound)), 1).otherwise(0)
     dom, ep = fresh(docs, "domain_", "epoch_")
     return joined.filter(times > 0).select(*[docs[c] for c in docs.columns], F.col(mark[0]).alias(dom), F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))).alias(ep))

@@ -77,3 +77,24 @@ def test_bins(stages):
 
 def test_run_is_the_stages(spark, sf_dir, stages):
     assert sorted(map(tuple, pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, stages[-1].collect()))
+
+
+def test_every_stage_takes_nulls_repeats_long_texts_clashing_names_and_empty_tables(spark):
+    rows = [(k, f"The quick word number {k} of many that stand in line {k}\nshared line", "en", "s1", 9) for k in range(30)]
+    rows += [(100, None, "en", "s1", None), (101, "", None, None, 0), (None, "Words of a text that has no id at all", "en", None, 5), (102, "\n\n", "en", "s1", 2), rows[0], (103, "long words of a text " * 20000, None, "s2", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.selectExpr("*", *[f"{k} AS {c}" for k, c in enumerate(("suspects", "kept", "kept_id", "rep", "id", "epoch_", "domain__m", "whole__m", "distance", "lang__f", "shard", "n", "gone__id"))])
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, df, "")
+        got = out.collect()
+        assert stage(spark, df.limit(0), "").collect() == []
+        assert k == 4 or out.dtypes == df.dtypes
+        ids = {r.doc_id for r in got}
+        if k == 0:
+            assert not ids & {100, 101, 102}
+        elif k == 1:
+            assert ids == set(range(30)) | {None, 103} and sum("shared line" in r.text for r in got) == 2  # a repeated row is treated like its twin
+        elif k == 2:
+            assert {100, 101, 102, 103, None} <= ids and sum(r.doc_id == 0 for r in got) == 2
+        elif k == 4:
+            assert ids == {r[0] for r in rows}
