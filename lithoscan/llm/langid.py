@@ -11,10 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import checkpoint, fresh, if_small, text_batches, utf8
+from ._base import checkpoint, fresh, if_small, slices, text_batches, utf8
 
 #: Hashed features; byte n-grams of 2 and 3, over lower-cased words with one blank between them.
 DIM = 4096
+#: Size classes: binary orders of a text's bytes.
+CLASSES = 32
+#: Documents, or held-out cuts, that a (language, size class) needs for quartiles of its own.
+LEAST = 50
+#: The size class from which distances don't change with length.
+LONG = 17
 _LOW = np.full(256, 32, np.uint32)
 for _b in range(256):
     if 97 <= _b <= 122 or _b >= 128:
@@ -61,6 +67,7 @@ class Model:
     owner: np.ndarray  # index of a centroid's language
     centroids: np.ndarray  # unit rows
     idf: np.ndarray
+    expected: np.ndarray  # by language and size class: quartiles and bound of the distance, by held-out cuts
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the language, and cosine distance from its nearest centroid."""
@@ -103,6 +110,78 @@ def cluster(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.ndarray
     return c
 
 
+def cuts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Bytes, offsets and text numbers of pieces of each text, one of each size class up to its own, from changing places.
+
+    Behind the first so many (the last result) are pieces of texts put together, for the classes up
+    to ``LONG`` of which there are few: of even texts with number 0, of odd ones with 1.
+    """
+    data, off = utf8(pa.array(texts, pa.string()))
+    parts, of = [], []
+    for i in range(len(texts)):
+        raw = data[off[i] : off[i + 1]]
+        for c in range(len(raw).bit_length()):
+            n = min(len(raw), int(2**c * (1 + i * 0.618034 % 1)))
+            at = int((len(raw) - n) * (i * 0.414214 % 1))
+            if (_LOW[raw[at : at + n]] != 32).any():
+                parts.append(raw[at : at + n])
+                of.append(i)
+    whole = len(parts)
+    n = np.bincount([len(p).bit_length() - 1 for p in parts], minlength=CLASSES)
+    for h in (0, 1):
+        joined = np.concatenate([data[off[i] : off[i + 1]] for i in range(min(h, len(texts) - 1), len(texts), 2)])
+        for c in np.flatnonzero(n[: LONG + 1] < 10):
+            for k in range(5):
+                parts.append(np.resize(np.roll(joined, -k * len(joined) // 5), int(2**c * (1 + k / 5))))
+                of.append(h)
+    return np.concatenate(parts), np.cumsum([0, *map(len, parts)]), np.array(of, np.int64), whole
+
+
+def expect(samples: list[list[str]], halves: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+    """By language and size class: the quartiles of its texts' distances, and the bound of a fence.
+
+    Measured on cuts of the labelled texts, each against centroids of the half of the sample
+    that it isn't in. The bound is the 5 % quantile of the distances of other languages' texts,
+    which are what unrelated text is at that length; where languages are so close that this
+    would reject their own texts, their 95 % quantile. With a single language, its texts with
+    their bytes in another order are the unrelated ones.
+    A class with too few cuts takes the figures of the nearest one that has enough.
+    """
+    k, rng = len(samples), np.random.default_rng(7)
+    dist: list[list[np.ndarray]] = [[] for _ in range(2 * k)]  # own, others'
+    size: list[list[np.ndarray]] = [[] for _ in range(2 * k)]
+    for lang, texts in enumerate(samples):
+        data, off, of, whole = cuts(texts)
+        for i, j in slices(off):
+            part, at = data[off[i] : off[j]], off[i : j + 1] - off[i]
+            c = np.floor(np.log2(np.diff(at))).astype(np.int64)
+            x = tfidf(gram_counts(part, at), idf)
+            for to in range(k):
+                sim = np.stack([(x @ h.T).max(axis=1) for h in halves[to]])
+                d = 1.0 - sim[of[i:j] % 2, np.arange(j - i)]
+                n = max(0, min(j, whole) - i) if to == lang else j - i
+                dist[to if to == lang else k + to].append(d[:n])
+                size[to if to == lang else k + to].append(c[:n])
+            if k == 1:
+                mixed = np.concatenate([rng.permutation(part[a:z]) for a, z in zip(at, at[1:])])
+                dist[1].append(1.0 - (tfidf(gram_counts(mixed, at), idf) @ np.concatenate(halves[0]).T).max(axis=1))
+                size[1].append(c)
+
+    def by_class(which: int, least: int, q: list[float]) -> np.ndarray:
+        d, c = np.concatenate([*dist[which], np.zeros(0)]), np.concatenate([*size[which], np.zeros(0, np.int64)])
+        n = np.bincount(c, minlength=CLASSES)
+        if not n.any():
+            return np.ones((CLASSES, len(q)))
+        some = np.flatnonzero(n >= min(least, (n.max() + 1) // 2))
+        return np.stack([np.quantile(d[c == some[np.abs(some - t).argmin()]], q) for t in range(CLASSES)])
+
+    out = np.empty((k, CLASSES, 3))
+    for lang in range(k):
+        own, other = by_class(lang, LEAST, [0.25, 0.75, 0.95]), by_class(k + lang, 10, [0.05])
+        out[lang] = np.stack([own[:, 0], own[:, 1], np.maximum(own[:, 2], other[:, 0] - 1e-4)], axis=1)
+    return out
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 300, per_cluster: int = 4) -> Model | None:
     """Fit on at most ``per_language`` labelled texts of each language, the first by a hash of the text.
 
@@ -119,14 +198,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_l
     if not rows:
         return None
     idf = np.log((1.0 + n) / (1.0 + df)).astype(np.float32) + 1.0
-    owner, cents = [], []
+    owner, cents, halves = [], [], []
     for k, (_, texts) in enumerate(rows):
         data, off = utf8(pa.array(texts, pa.string()))
         x = np.concatenate([tfidf(gram_counts(data[off[i] : off[i + 1]], np.array([0, off[i + 1] - off[i]])), idf) for i in range(len(texts))])
         c = cluster(x, per_cluster)
+        # a text of an even number is held against what the odd ones give, and the other way round
+        halves.append(tuple(cluster(x[1 - h :: 2] if len(x) > 1 else x, per_cluster) for h in (0, 1)))
         cents.append(c)
         owner += [k] * len(c)
-    return Model([r[0] for r in rows], np.array(owner), np.concatenate(cents).astype(np.float32), idf)
+    return Model([r[0] for r in rows], np.array(owner), np.concatenate(cents).astype(np.float32), idf, expect([r[1] for r in rows], halves, idf))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", names: tuple[str, str, str] = ("lang_id", "distance", "size_class")) -> DataFrame:
@@ -156,15 +237,21 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", names: t
     return docs.mapInArrow(run, schema)
 
 
-def fences(scored: DataFrame, spread: float, names: tuple[str, str, str] = ("lang_id", "distance", "size_class")) -> DataFrame:
-    """(language, size class, fence): the upper quartile plus ``spread`` quartile ranges of all distances.
+def fences(scored: DataFrame, model: Model | None, spread: float, names: tuple[str, str, str] = ("lang_id", "distance", "size_class")) -> DataFrame:
+    """(language, size class, fence): the upper quartile plus ``spread`` quartile ranges of all distances, within the bound of :func:`expect`.
 
-    Quartiles come from mergeable sketches over the whole table.
+    Quartiles come from mergeable sketches over the whole table; a group of under ``LEAST`` rows has
+    those of :func:`expect`, and as so few texts don't show how such texts vary, a fence at least halfway to the bound.
     """
+    known = [] if model is None else [(la, c, *map(float, model.expected[k, c])) for k, la in enumerate(model.languages) for c in range(CLASSES)]
+    known = scored.sparkSession.createDataFrame(known, "lang__f string, size__f int, low double, high double, bound double")
     q = F.percentile_approx(names[1], [0.25, 0.75], 10_000)
-    return scored.filter(F.col(names[0]).isNotNull()).groupBy(F.col(names[0]).alias("lang__f"), F.col(names[2]).alias("size__f")).agg(q.alias("q")).select(
-        "lang__f", "size__f", (F.col("q")[1] + spread * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(0.01))).alias("fence__f")
-    )
+    seen = scored.filter(F.col(names[0]).isNotNull()).groupBy(F.col(names[0]).alias("lang__s"), F.col(names[2]).alias("size__s")).agg(q.alias("q"), F.count("*").alias("n")).filter(F.col("n") >= LEAST)
+    both = known.join(seen, (F.col("lang__f") == F.col("lang__s")) & (F.col("size__f") == F.col("size__s")), "left")
+    low, high = F.coalesce(F.col("q")[0], "low"), F.coalesce(F.col("q")[1], "high")
+    far = high + spread * F.greatest(high - low, F.lit(0.01))
+    far = F.when(F.col("n").isNull(), F.greatest(far, (F.col("high") + F.col("bound")) / 2)).otherwise(far)
+    return both.select("lang__f", "size__f", F.least(far, "bound").alias("fence__f"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", spread: float = 8.0, per_language: int = 300, per_cluster: int = 4) -> DataFrame:
@@ -172,7 +259,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     A text's TF-IDF vector of hashed byte n-grams is compared by cosine with ``per_cluster``
     centroids of each language (:func:`train`). It is rejected, and ``lang_id`` null, if its
-    distance from the nearest exceeds the fence of that language and size class (:func:`fences`).
+    distance from the nearest exceeds the fence of that language and size class (:func:`fences`),
+    which stays below the distance of text in other languages (:func:`expect`).
 
     Null, empty and letterless texts are rejected with distance 1; null labels aren't trained on,
     and without any label all is rejected; repeated rows and null ids are scored each; ties go
@@ -181,7 +269,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = train(docs, text_col, lang_col, per_language, per_cluster)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     scored = checkpoint(score(slim, model).drop("text"))
-    f = if_small(checkpoint(fences(scored, spread)))
+    f = if_small(checkpoint(fences(scored, model, spread)))
     out = scored.join(f, (F.col("lang_id") == F.col("lang__f")) & (F.col("size_class") == F.col("size__f")), "left")
     ok = F.coalesce(F.col("distance") <= F.col("fence__f"), F.lit(False))
     return out.select(F.col("id").alias(id_col), F.when(ok, F.col("lang_id")).alias("lang_id"), F.round("distance", 6).alias("distance"), ok.alias("accepted"))
@@ -191,7 +279,7 @@ def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     """The rows of ``docs`` that :func:`identify` accepts, with the columns they have. Texts aren't shuffled."""
     model = train(docs, text_col, lang_col, per_language, per_cluster)
     names = tuple(fresh(docs, "lang_id", "distance", "size_class"))
-    f = if_small(checkpoint(fences(score(docs.select(text_col), model, text_col), spread)))
+    f = if_small(checkpoint(fences(score(docs.select(text_col), model, text_col), model, spread)))
     scored = score(docs, model, text_col, names)
     out = scored.join(f, (scored[names[0]] == f["lang__f"]) & (scored[names[2]] == f["size__f"]))
     return out.filter(scored[names[1]] <= f["fence__f"]).select(*[scored[c] for c in docs.columns])

@@ -137,6 +137,25 @@ def test_language_held_out(spark):
     assert not any(r.accepted for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect())
 
 
+def test_language_fence_is_below_unrelated_text(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(8)
+    foreign = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα, με λογική και συνείδηση", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+    ]
+    for n in (40, 90, 200, 3000, 70_000):
+        foreign += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz    ", k=n)), base64.b64encode(rng.randbytes(n)).decode(), (foreign[0] + ". ") * (n // 70)]
+    en = " ".join(r.text for r in docs.filter("lang = 'en'").orderBy("doc_id").limit(40).collect())
+    cut = [en[k * 997 : k * 997 + n] for k, n in enumerate((40, 50, 90, 100, 200, 400, 3000, 9000))] + [en * (2_500_000 // len(en))]
+    df = docs.union(spark.createDataFrame([(10**6 + k, t, None) for k, t in enumerate(foreign) if t] + [(2 * 10**6 + k, t, None) for k, t in enumerate(cut)], "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert not [(foreign[k - 10**6][:30], r.distance) for k, r in got.items() if 10**6 <= k < 2 * 10**6 and r.accepted]
+    assert all(got[2 * 10**6 + k].lang_id == "en" for k in range(len(cut)))
+    one = langid.identify(df.filter("lang = 'en' OR lang IS NULL")).collect()
+    assert sum(r.accepted for r in one if 10**6 <= r.doc_id < 2 * 10**6) == 0 and all(r.accepted for r in one if r.doc_id >= 2 * 10**6)
+
+
 def slow_measures(t):
     b = t.encode()
     solid = [c for c in b if c not in b" \t\n\x0b\x0c\r"]
