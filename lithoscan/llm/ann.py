@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,16 +75,23 @@ class Hashes:
 
 
 def _search(ids: np.ndarray, vecs: np.ndarray, bucket: np.ndarray, q_ids: np.ndarray, q_vecs: np.ndarray, q_of: np.ndarray, q_bucket: np.ndarray, k: int):
-    """For each query the k nearest members of the buckets it visits: (query row, member row, distance)."""
+    """For each query the k nearest members of the buckets it visits, by (distance, id): (query row, member row, distance).
+
+    |q|^2 + |x|^2 - 2 q.x only rules out members that are farther than the k-th by more than its
+    rounding error; the others' differences are measured. Of an id with several vectors the nearest counts.
+    """
+    vecs, q_vecs = vecs.astype(np.float64), q_vecs.astype(np.float64)
     order = np.argsort(bucket, kind="stable")
     names, start = np.unique(bucket[order], return_index=True)
     stop = np.append(start[1:], len(order))
     q_order = np.argsort(q_bucket, kind="stable")
     sorted_q = q_bucket[q_order]
     lo, hi = np.searchsorted(sorted_q, names), np.searchsorted(sorted_q, names, "right")
-    best_d = np.full((len(q_ids), k), np.inf, np.float32)
+    best_d = np.full((len(q_ids), k), np.inf)
     best_i = np.full((len(q_ids), k), -1, np.int64)
     norm, q_norm = (vecs**2).sum(1), (q_vecs**2).sum(1)
+    enough = k * int(np.unique(ids, return_counts=True)[1].max())  # so many members have k ids at least
+    slack = (vecs.shape[1] + 16) * 2.0**-51
     for s, e, a, z in zip(start, stop, lo, hi):
         for a2 in range(a, z, 1024):
             q = q_of[q_order[a2 : min(z, a2 + 1024)]]
@@ -92,14 +99,46 @@ def _search(ids: np.ndarray, vecs: np.ndarray, bucket: np.ndarray, q_ids: np.nda
                 m = order[s2 : min(e, s2 + 1024)]
                 d = q_norm[q][:, None] + norm[m][None] - 2 * (q_vecs[q] @ vecs[m].T)
                 d[q_ids[q][:, None] == ids[m][None]] = np.inf
-                d = np.concatenate([best_d[q], d], axis=1)
-                i = np.concatenate([best_i[q], np.broadcast_to(m, (len(q), len(m)))], axis=1)
-                top = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.broadcast_to(np.arange(d.shape[1]), d.shape)
-                best_d[q], best_i[q] = np.take_along_axis(d, top, 1), np.take_along_axis(i, top, 1)
-    row, col = np.nonzero(np.isfinite(best_d))
-    member = best_i[row, col]
-    exact = np.sqrt(((q_vecs[row].astype(np.float64) - vecs[member]) ** 2).sum(1))
-    return row, member, exact
+                error = slack * (q_norm[q] + norm[m].max())
+                far = best_d[q, -1] ** 2 + error
+                near = d <= far[:, None]
+                if len(m) > enough and near.sum() > 4 * enough * len(q):
+                    near &= d <= (np.partition(d, enough - 1, axis=1)[:, enough - 1] + error)[:, None]
+                near &= np.isfinite(d)
+                row, col = np.nonzero(near)
+                if not len(row):
+                    continue
+                member = m[col]
+                exact = np.concatenate([np.sqrt(((q_vecs[q[row[i : i + 65536]]] - vecs[member[i : i + 65536]]) ** 2).sum(1)) for i in range(0, len(row), 65536)])
+                old_row, old_col = np.nonzero(best_i[q] >= 0)
+                row, member, exact = np.append(row, old_row), np.append(member, best_i[q[old_row], old_col]), np.append(exact, best_d[q[old_row], old_col])
+                if enough > k:
+                    by = np.lexsort((exact, ids[member], row))
+                    first = np.append(True, (np.diff(row[by]) != 0) | (np.diff(ids[member[by]]) != 0))
+                    row, member, exact = row[by][first], member[by][first], exact[by][first]
+                by = np.lexsort((ids[member], exact, row))
+                row, member, exact = row[by], member[by], exact[by]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                top = rank < k
+                best_d[q[row[top]], rank[top]], best_i[q[row[top]], rank[top]] = exact[top], member[top]
+    row, col = np.nonzero(best_i >= 0)
+    return row, best_i[row, col], best_d[row, col]
+
+
+def _mean(rows: DataFrame, dim: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The mean over all vectors of ``of``, which gives a row for each; one sum of each task goes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, None
+        for b in batches:
+            if b.num_rows:
+                x = of(np.array(b.column(0).flatten(), np.float64).reshape(b.num_rows, dim)).sum(0)
+                n, total = n + b.num_rows, x if total is None else total + x
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], ["n", "s"])
+
+    got = rows.select("v").mapInArrow(run, "n bigint, s array<double>").collect()
+    return np.sum([r["s"] for r in got], axis=0) / sum(r["n"] for r in got)
 
 
 def nearest(
@@ -109,9 +148,10 @@ def nearest(
     """(query_id, neighbour_id, rank, distance): for every row its ``k`` nearest rows by Euclidean distance.
 
     Each table cuts the space by ``functions`` p-stable projections into slots ``width`` typical
-    vector lengths wide. A query visits its own bucket and ``probes`` - 1 perturbed ones of every
+    distances from the mean vector wide. A query visits its own bucket and ``probes`` - 1 perturbed ones of every
     table, in the order of :func:`probe_order`; members met are ranked by exact distance, and the
-    tables' candidates are merged. No bucket or candidate list is cut short.
+    tables' candidates are merged. No bucket is cut short, and
+    a list of candidates only behind its k nearest by exact distance and id.
 
     Rows meet by (table, slots of the first functions): a query goes once to each part that it
     visits, with its buckets there. So many first functions are used that a part of a
@@ -126,14 +166,18 @@ def nearest(
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("v")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     )
-    stats = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.avg(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("length")).first()
+    stats = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     schema = "query_id bigint, neighbour_id bigint, distance double"
     if not stats["n"]:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, neighbour_id bigint, rank int, distance double")
     dim = stats["dim"]
     rows = rows.filter(F.size("v") == dim)
     coarse = min(functions, max(1, math.ceil(math.log(max(stats["n"] / part_rows, 1), 3))))
-    hashes = Hashes(dim, tables, functions, width * (stats["length"] or 1.0), probes, coarse)
+    centre = _mean(rows, dim, lambda x: x)
+    length = float(_mean(rows, dim, lambda x: np.linalg.norm(x - centre, axis=1, keepdims=True))[0])
+    if stats["n"] <= 5 * k:  # neighbours are so large a part of the table that all rows meet
+        length *= 10_000
+    hashes = Hashes(dim, tables, functions, width * (length or 1.0), probes, coarse)
     sent = T.StructType([T.StructField("part", T.LongType()), T.StructField("query", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("buckets", T.BinaryType())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +187,7 @@ def nearest(
                 ids = b.column(0)
                 x = np.array(b.column(1).flatten(), np.float32).reshape(b.num_rows, dim)
                 raw = pa.array([r.tobytes() for r in x], pa.binary())
+                x = (x - centre).astype(np.float32)
                 for t in range(tables):
                     part, bucket = hashes.keys(np.floor(hashes.place(x, t)).astype(np.int64), t)
                     n = len(x)

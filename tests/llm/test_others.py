@@ -105,6 +105,30 @@ def test_neighbour_edges(spark):
     assert ann.nearest(df.limit(0)).collect() == []
 
 
+def test_neighbour_ties_and_offsets(spark):
+    rng = np.random.default_rng(4)
+    ids = rng.permutation(50)
+    same = spark.createDataFrame([(int(k), [100.1, 7.3, -3.7]) for k in ids], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank, r.neighbour_id) for r in ann.nearest(same, k=3).collect()}
+    assert got == {(q, n + 1, o) for q in range(50) for n, o in enumerate([o for o in range(4) if o != q][:3])}
+    x = (100 + rng.normal(0, 0.1, (600, 8))).astype(np.float32)
+    for offset in (0, 100_000):
+        y = (x + np.float32(offset)).astype(np.float32)
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(y)], "vec_id long, embedding array<float>")
+        found = {(r.query_id, r.neighbour_id) for r in ann.nearest(df, k=10).collect()}
+        want = exact_by_id(y, 10)
+        assert len(found & want) >= 0.99 * len(want)
+    # one id with many near vectors doesn't hide the others
+    many = spark.createDataFrame([(0, [0.0, 0.0])] + [(1, [0.001 * k, 0.1]) for k in range(30)] + [(k, [0.5, 0.1 * k]) for k in range(2, 6)], "vec_id long, embedding array<double>")
+    assert [r.neighbour_id for r in ann.nearest(many, k=3, width=100.0).filter("query_id = 0").orderBy("rank").collect()] == [1, 2, 3]
+
+
+def exact_by_id(x, k):
+    d = np.sqrt(((x[:, None].astype(float) - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    return {(q, int(o)) for q in range(len(x)) for o in np.lexsort((np.arange(len(x)), d[q]))[:k]}
+
+
 def test_probe_order_starts_at_home_and_never_contradicts():
     sets = ann.probe_order(6, 80)
     assert sets[0] == () and len(set(sets)) == 80
