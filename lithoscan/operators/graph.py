@@ -56,13 +56,53 @@ def reachability(edges: DataFrame) -> DataFrame:
         n = m
 
 
+def trim(edges: DataFrame) -> DataFrame:
+    """``edges``, a checkpoint, without those that lie on no cycle because an end has no edge in or none out."""
+    n = edges.count()
+    while n:
+        kept = checkpoint(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        m = kept.count()
+        if m == n:
+            break
+        edges, n = kept, m
+    return edges
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame | None = None, closure: DataFrame | None = None) -> DataFrame:
-    """(node, comp): the least vertex that can be reached from the node and reaches it."""
+    """(node, comp): the least vertex that can be reached from the node and reaches it.
+
+    Without a ``closure``, by colours: each vertex takes the least one that reaches it; those of a
+    colour that reach its first vertex are a component, and edges among the others of a colour go to
+    the next round. Rows are vertices and edges, never pairs; steps are as many as the longest such
+    path, and lineage is cut at each.
+    """
     v = vertices(edges) if nodes is None else nodes.select("node").union(vertices(edges)).distinct()
-    r = reachability(edges) if closure is None else closure
-    back = r.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = r.join(back, ["src", "dst"], "left_semi").groupBy("src").agg(F.min("dst").alias("low"))
-    return v.join(mutual, v["node"] == mutual["src"], "left").select("node", F.least("node", F.coalesce("low", "node")).alias("comp"))
+    if closure is not None:
+        back = closure.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        mutual = closure.join(back, ["src", "dst"], "left_semi").groupBy("src").agg(F.min("dst").alias("low"))
+        return v.join(mutual, v["node"] == mutual["src"], "left").select("node", F.least("node", F.coalesce("low", "node")).alias("comp"))
+    rest, found = trim(checkpoint(distinct_edges(edges))), None
+    while not rest.isEmpty():
+        colour = vertices(rest).withColumn("colour", F.col("node"))
+        while True:
+            near = rest.join(colour, rest["src"] == colour["node"]).groupBy("dst").agg(F.min("colour").alias("low"))
+            colour = checkpoint(colour.join(near, colour["node"] == near["dst"], "left").select("node", F.least("colour", "low").alias("colour"), (F.col("low") < F.col("colour")).alias("moved")))
+            if colour.filter("moved").isEmpty():
+                break
+            colour = colour.select("node", "colour")
+        a, b = colour.select(F.col("node").alias("src"), "colour"), colour.select(F.col("node").alias("dst"), F.col("colour").alias("other"))
+        inside = checkpoint(rest.join(a, "src").join(b, "dst").filter("colour = other").select("src", "dst", "colour"))
+        done = checkpoint(colour.filter("node = colour").select("node", F.col("colour").alias("comp")))
+        new = done
+        while not new.isEmpty():
+            new = checkpoint(inside.join(new, inside["dst"] == new["node"]).select(F.col("src").alias("node"), F.col("colour").alias("comp")).distinct().join(done, "node", "left_anti"))
+            done = checkpoint(done.union(new))
+        found = done if found is None else checkpoint(found.union(done))
+        left = inside.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti")
+        rest = trim(checkpoint(left.select("src", "dst")))
+    if found is None:
+        return v.select("node", F.col("node").alias("comp"))
+    return v.join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
 def condensation(edges: DataFrame, comps: DataFrame) -> DataFrame:
@@ -103,13 +143,11 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, max_sources: i
 
     Beyond ``max_sources`` vertices every (n // max_sources)-th one by name is a source, and sums are
     scaled up. Sources are rows; each task walks its sources over the adjacency of the graph, which
-    is sent to it, so the vertices are limited to CLOSURE_LIMIT.
+    is collected and sent to it.
     """
     e = distinct_edges(edges)
     v = (vertices(e) if nodes is None else nodes.select("node")).distinct()
     n = v.count()
-    if n > CLOSURE_LIMIT:
-        raise ValueError(f"centrality of more than {CLOSURE_LIMIT} vertices is refused")
     adjacency = {r["src"]: sorted(r["to"]) for r in e.groupBy("src").agg(F.collect_list("dst").alias("to")).collect()}
     step = max(1, n // max_sources) if n > max_sources else 1
     picked = v.withColumn("k", F.row_number().over(Window.orderBy("node")) - 1).filter((F.col("k") % step == 0))

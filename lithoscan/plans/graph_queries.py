@@ -109,9 +109,47 @@ def layer_map(spark: SparkSession, d: str) -> DataFrame:
     return graph.layer_map(graph.degrees(e), layered)
 
 
+def _imports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    m = modules(spark, d)
+    return checkpoint(graph.distinct_edges(import_edges(spark, d))), checkpoint(m.select(F.col("path").alias("node")))
+
+
+def _layered_imports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e, nodes = _imports(spark, d)
+    return e, nodes, checkpoint(graph.layers(e, checkpoint(graph.strong_components(e, nodes))))
+
+
+def import_scc(spark: SparkSession, d: str) -> DataFrame:
+    return graph.strong_components(*_imports(spark, d))
+
+
+def import_components(spark: SparkSession, d: str) -> DataFrame:
+    e, nodes = _imports(spark, d)
+    return nodes.join(graph.connected_components(e), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def import_layers(spark: SparkSession, d: str) -> DataFrame:
+    return _layered_imports(spark, d)[2]
+
+
+def import_order(spark: SparkSession, d: str) -> DataFrame:
+    return graph.topological_order(_layered_imports(spark, d)[2])
+
+
+def import_topology(spark: SparkSession, d: str) -> DataFrame:
+    e, _, layered = _layered_imports(spark, d)
+    return graph.topology(e, layered)
+
+
+def import_key_links(spark: SparkSession, d: str) -> DataFrame:
+    e, nodes, layered = _layered_imports(spark, d)
+    return graph.key_links(graph.link_scores(e, graph.degrees(e, nodes), layered))
+
+
 QUERIES = {f.__name__: f for f in (
     deps_classified, deps_regex, import_edges, module_import_counts, related, import_degrees,
     graph_degrees, graph_scc, graph_components, graph_layers, graph_order, graph_topology, graph_betweenness, graph_key_links, graph_key_nodes, layer_map,
+    import_scc, import_components, import_layers, import_order, import_topology, import_key_links,
 )}
 
 _MODS = """p AS (SELECT p_partkey, lower(p_type) || '/b' || (p_size % 7) AS dir FROM part), f AS (SELECT l_orderkey, l_partkey AS importer FROM lineitem WHERE l_linenumber = 1),
@@ -155,3 +193,8 @@ UNION SELECT 'reverse', src FROM w, me WHERE src <> stem || '.py' AND (dst = ste
     "layer_map": f"""WITH RECURSIVE {_LAY}, r AS (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY fan_in DESC, node) AS k, count(*) OVER (PARTITION BY layer) AS n FROM lay JOIN deg USING (node))
 SELECT layer, max(n) AS n_files, string_agg(node, ', ' ORDER BY k) FILTER (WHERE k <= 8) || CASE WHEN max(n) > 8 THEN ', ... (+' || (max(n) - 8) || ' more)' ELSE '' END AS listing FROM r GROUP BY layer""",
 }
+
+_IMP = _MODS + """, e AS (SELECT DISTINCT src, dst FROM w WHERE dst IS NOT NULL AND dst <> src), v AS (SELECT dir || '/p' || p_partkey || '.py' AS node FROM p)"""
+_U = "u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e UNION SELECT node, node FROM v), r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b)"
+ORACLE_SQL |= {f"import_{k}": ORACLE_SQL[f"graph_{k}"].replace(_nat(), _IMP) for k in ("scc", "layers", "order", "topology", "key_links")}
+ORACLE_SQL["import_components"] = f"WITH RECURSIVE {_IMP}, {_U} SELECT a AS node, min(b) AS root FROM r GROUP BY a"

@@ -86,6 +86,25 @@ def test_closure_has_a_limit(spark, monkeypatch):
         graph.reachability(spark.createDataFrame([("a", "b"), ("c", "d")], "src string, dst string"))
 
 
+def test_graph_beyond_the_closure_limit(spark, monkeypatch, sf_dir):
+    from lithoscan.plans import graph_queries
+
+    monkeypatch.setattr(graph, "CLOSURE_LIMIT", 3)
+    rng = random.Random(6)
+    e = {(f"n{rng.randrange(60):02}", f"n{rng.randrange(60):02}") for _ in range(75)} | {("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("x0", "x1"), ("x3", "x4"), ("x4", "x5"), ("x5", "x4")}
+    df = spark.createDataFrame(sorted(e), "src string, dst string")
+    imported = graph_queries.import_edges(spark, sf_dir)
+    for edges, pairs, nodes in ((df, e, set()), (imported, set(map(tuple, imported.select("src", "dst").collect())), {r.path for r in graph_queries.modules(spark, sf_dir).collect()})):
+        adj = {}
+        for a, b in pairs:
+            adj.setdefault(a, set()).add(b)
+        nodes = nodes | {x for p in pairs for x in p}
+        want = tarjan(nodes, adj)
+        got = graph.strong_components(edges) if edges is df else graph_queries.import_scc(spark, sf_dir)
+        assert {r.node: r.comp for r in got.collect()} == want and len(set(want.values())) < len(nodes)
+    assert graph.betweenness(df).count() == len({x for p in e for x in p})
+
+
 def test_import_resolution(spark):
     files = spark.createDataFrame([("pkg/a.py",), ("pkg/__init__.py",), ("pkg/sub/b.py",), ("src/lib/c.py",), ("web/x.ts",), ("web/lib/index.js",), ("include/u.h",), ("c/v.h",)], "path string")
     want = spark.createDataFrame(
