@@ -70,7 +70,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,13 +154,15 @@ SELECT p.page_id, p.url, strftime(t, '%Y-%m-%d') AS fetched_at, m IS NOT NULL AS
 FROM p LEFT JOIN best USING (page_id)"""
 
 NGRAM_SQL = rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents WHERE text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {ngram_join.N} THEN CASE WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END
       ELSE list_transform(range(1, len(w) - {ngram_join.N} + 2), lambda i: array_to_string(w[i:i + {ngram_join.N} - 1], ' ')) END) AS t FROM w),
 s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-c AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o FROM g a JOIN g b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, round(o / (x.n + y.n - o), 6) AS jaccard FROM c JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b
-WHERE o >= {ngram_join.THRESHOLD} * (x.n + y.n - o)"""
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE o >= {ngram_join.THRESHOLD} * (x.n + y.n - o)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS least FROM r GROUP BY a), k AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(least, doc_id)) AS class_id, coalesce(links, 0) AS links FROM documents LEFT JOIN m ON m.a = doc_id LEFT JOIN k ON k.a = doc_id"""
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup_sql(), "op4_source_mixing": mixing_sql(), "op8_ngram_jaccard": NGRAM_SQL, "op10_url_filter": URL_SQL,
