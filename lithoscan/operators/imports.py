@@ -170,15 +170,18 @@ def module_counts(resolved: DataFrame) -> DataFrame:
 
 
 def related(files: DataFrame, resolved: DataFrame, path: str) -> DataFrame:
-    """(direction, path): files that ``path`` imports, and files whose text names its module or stem."""
+    """(direction, path): files that ``path`` imports, and other files whose text names it, as files of its kind are named."""
     forward = resolved.filter((F.col("src") == path) & F.col("dst").isNotNull()).select(F.lit("forward").alias("direction"), F.col("dst").alias("path")).distinct()
-    stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
-    names = {path, stem if path.endswith((".sh", ".bash", ".c", ".h")) else path.rsplit(".", 1)[0].replace("/", "."), path.rsplit(".", 1)[0]}
-    if not path.endswith(".py"):
-        names.add(path.rsplit("/", 1)[-1])
+    name, (root, _, ext) = path.rsplit("/", 1)[-1], path.rpartition(".")
+    stem = name.rsplit(".", 1)[0]
+    if ext == "py":
+        names = {root.removesuffix("/__init__").replace("/", "."), stem}
+    elif ext in ("js", "jsx", "ts", "tsx"):
+        names = {root, stem}
+    else:
+        names = {name, path if ext in ("bash", "sh") else stem}
     test = F.lit(False)
     for n in sorted(names - {""}):
         test = test | F.col("text").contains(n)
-    imported = resolved.filter(F.col("dst") == path).select(F.lit("reverse").alias("direction"), F.col("src").alias("path"))
-    reverse = files.filter(test & (F.col("path") != path)).select(F.lit("reverse").alias("direction"), "path")
-    return forward.unionByName(reverse.unionByName(imported).distinct())
+    reverse = files.filter(test & (F.col("path") != path)).select(F.lit("reverse").alias("direction"), "path").distinct()
+    return forward.unionByName(reverse)

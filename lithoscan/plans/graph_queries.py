@@ -180,7 +180,7 @@ ORACLE_SQL = {
     "module_import_counts": f"WITH {_MODS} SELECT module, count(DISTINCT src) AS importers FROM w WHERE dst IS NOT NULL GROUP BY module",
     "import_degrees": f"WITH {_MODS}, e AS (SELECT DISTINCT src, dst FROM w WHERE dst IS NOT NULL AND dst <> src), i AS (SELECT dst, count(*) AS n FROM e GROUP BY dst), o AS (SELECT src, count(*) AS n FROM e GROUP BY src) SELECT dir || '/p' || p_partkey || '.py' AS node, coalesce(i.n, 0) AS fan_in, coalesce(o.n, 0) AS fan_out FROM p LEFT JOIN i ON i.dst = dir || '/p' || p_partkey || '.py' LEFT JOIN o ON o.src = dir || '/p' || p_partkey || '.py'",
     "related": f"""WITH {_MODS}, me AS (SELECT dir || '/p7' AS stem FROM p WHERE p_partkey = 7) SELECT DISTINCT 'forward' AS direction, dst AS path FROM w, me WHERE src = stem || '.py' AND dst IS NOT NULL
-UNION SELECT 'reverse', src FROM w, me WHERE src <> stem || '.py' AND (dst = stem || '.py' OR contains(module, replace(stem, '/', '.')))""",
+UNION SELECT 'reverse', src FROM w, me WHERE src <> stem || '.py' AND contains(module, 'p7')""",
     "graph_degrees": f"WITH {_nat()}, {_DEG} SELECT * FROM deg",
     "graph_scc": f"WITH RECURSIVE {_SCC} SELECT node, comp FROM scc",
     "graph_components": f"WITH RECURSIVE {_nat(1)}, u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r(a, b) AS (SELECT a, a FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS node, min(b) AS root FROM r GROUP BY a",

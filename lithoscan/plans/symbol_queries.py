@@ -106,11 +106,11 @@ w AS (SELECT n.wanted, g.* FROM (VALUES ('user_0'), ('conv_3'), ('conv_5.assista
  QUALIFY row_number() OVER (PARTITION BY n.wanted ORDER BY "end" IS NULL, CASE kind WHEN 'class' THEN 0 WHEN 'function' THEN 1 WHEN 'member' THEN 3 ELSE 5 END, line, path) = 1)
 SELECT wanted, ln.path, line_no, text FROM w JOIN ln ON ln.path = w.path AND line_no BETWEEN line AND coalesce("end", line)""",
     "best_definition": f"""WITH {_TAGS} SELECT name AS wanted, path, line, kind FROM tags QUALIFY row_number() OVER (PARTITION BY name ORDER BY "end" IS NULL, CASE kind WHEN 'function' THEN 0 WHEN 'member' THEN 2 WHEN 'class' THEN 3 ELSE 5 END, line, path) = 1""",
-    "callees": r"""WITH c AS (SELECT DISTINCT conv_id || '_' || turn AS symbol, unnest(regexp_extract_all(replace(text, '.', '('), '(?:^|[^0-9A-Za-z_])([A-Za-z_][0-9A-Za-z_]*)[ \t]*\(', 1)) AS callee FROM conversations),
+    "callees": r"""WITH c AS (SELECT DISTINCT conv_id || '_' || turn AS symbol, regexp_extract(piece, '([\p{L}\p{N}_]+)[ \t\r\f\v]*$', 1) AS callee FROM (SELECT *, unnest(string_split(replace(text, '.', '('), '(')[:-2]) AS piece FROM conversations)),
 f AS (SELECT regexp_extract(text, '^([A-Za-z]+)', 1) AS name, CAST(conv_id AS VARCHAR) AS path, 'function' AS kind, CAST(turn AS INTEGER) AS line FROM conversations WHERE regexp_matches(text, '^[A-Za-z]')),
 d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY name ORDER BY path, line) = 1)
 SELECT callee, symbol, path AS def_path, kind AS def_kind, line AS def_line, path IS NOT NULL AS resolved FROM c LEFT JOIN d ON d.name = c.callee
-WHERE callee NOT IN ('yield','with','while','try','return','raise','print','or','not','lambda','is','in','if','for','finally','except','elif','del','def','class','assert','and')""",
+WHERE regexp_matches(callee, '^[A-Za-z_]') AND callee NOT IN ('yield','with','while','try','return','raise','print','or','not','lambda','is','in','if','for','finally','except','elif','del','def','class','assert','and')""",
     "symbol_fallback": """SELECT * FROM (SELECT regexp_extract(text, '([A-Za-z]+)', 1) AS name, 'f' || conv_id || (['.py', '.sh', '.js'])[conv_id % 3 + 1] AS path, CAST(turn + 1 AS INTEGER) AS line,
  CASE WHEN conv_id % 3 = 0 AND turn % 4 = 0 THEN 'function' WHEN conv_id % 3 = 0 AND turn % 4 = 1 THEN 'class' WHEN conv_id % 3 = 1 AND turn % 4 = 2 THEN 'function' WHEN conv_id % 3 = 2 AND turn % 4 = 3 THEN 'function' WHEN conv_id % 3 = 2 AND turn % 4 = 1 THEN 'class' END AS kind
  FROM conversations) WHERE kind IS NOT NULL AND name <> ''""",

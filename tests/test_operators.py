@@ -173,3 +173,16 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     q = windowed_churn(stamped(spark.readStream.schema(schema).parquet(str(src)))).writeStream.format("memory").queryName("churned").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("churned").collect()} == {tuple(r) for r in windowed_churn(stamped(spark.read.parquet(path))).collect()}
+
+
+def test_calls_side_by_side_and_nested(spark):
+    rows = [("a", "y = f(g(x))"), ("b", "h (1); _i(2)"), ("c", "if (x): éa(1); naïve(2)")]
+    got = symbols.call_names(spark.createDataFrame(rows, "symbol string, text string"), ["symbol"]).collect()
+    assert {tuple(r) for r in got} == {("a", "f"), ("a", "g"), ("b", "h"), ("b", "_i"), ("c", "naïve")}
+
+
+def test_words_that_share_a_separator_count_each(spark):
+    df = spark.createDataFrame([("tests/test_a.sh", "assert_eq assert_ne\nsrc/a.py,lib/b.sh tool run tool stop")], "path string, text string")
+    assert insights.test_counts(df).first().asserts == 2
+    assert {tuple(r) for r in insights.mentions(df).collect()} == {("src/a.py", 1), ("lib/b.sh", 1)}
+    assert {tuple(r) for r in insights.command_hits(df, "tool").collect()} == {("run", 1), ("stop", 1)}
