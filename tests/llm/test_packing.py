@@ -1,5 +1,6 @@
 import random
-from itertools import product
+import time
+from itertools import combinations, product
 
 import pytest
 from hypothesis import given, settings
@@ -51,7 +52,7 @@ def test_search_beats_best_fit():
 @pytest.mark.parametrize("kind", ["one", "two", "split"])
 def test_exchanges_raise_squared_fill(kind):
     sizes, bins = {"one": ([6, 3, 5, 4], [[0, 1], [2, 3]]), "two": ([7, 2, 3, 3, 3], [[0, 1], [2, 3, 4]]), "split": ([4, 3, 2, 8], [[0, 1, 2], [3]])}[kind]
-    s = packing.LocalSearch(sizes, [list(b) for b in bins], 10, 1.0, 3)
+    s = packing.LocalSearch(sizes, [list(b) for b in bins], 10, 1.0)
     before = int((s.fill**2).sum())
     moved = any(s.improve(k) for k in range(len(s.bins)) if s.bins[k])
     assert not moved or int((s.fill**2).sum()) > before
@@ -81,3 +82,40 @@ def test_empty_and_shards(spark):
     many = spark.range(500).selectExpr("id AS doc_id", "repeat('w ', cast(id % 9 + 1 as int)) AS text")
     got = packing.pack(many, capacity=16, shard_rows=50).collect()
     assert len(got) == 500 and len({r.bin_id >> 32 for r in got}) > 5
+
+
+def exchanges(bins, sizes, capacity):
+    """Whether any move or exchange of one or two for none, one or two would make squared fill grow (by hand)."""
+    groups = [[()] + [(i,) for i in b] + list(combinations(b, 2)) for b in bins]
+    for x, y in product(range(len(bins)), repeat=2):
+        fx, fy = sum(sizes[i] for i in bins[x]), sum(sizes[i] for i in bins[y])
+        for give, back in product(groups[x], groups[y]) if x != y else ():
+            if (len(give), len(back)) in ((1, 0), (1, 1), (2, 1), (1, 2)):
+                g = sum(sizes[i] for i in give) - sum(sizes[i] for i in back)
+                if g > 0 and fy + g <= capacity and (fx - g) ** 2 + (fy + g) ** 2 > fx**2 + fy**2:
+                    return True
+    return False
+
+
+def test_ends_where_no_exchange_helps_or_bins_are_as_few_as_can_be():
+    rng = random.Random(8)
+    for _ in range(40):
+        sizes = [rng.randint(1, 30) for _ in range(rng.randint(2, 25))]
+        bins = packing.pack_sizes(sizes, 40, underfull=1.0)
+        assert len(bins) <= -(-sum(sizes) // 40) or not exchanges(bins, sizes, 40)
+
+
+def test_many_small_documents_in_one_bin_take_no_time():
+    began = time.perf_counter()
+    assert len(packing.pack_sizes([1] * 8000, 8192)) == 1
+    assert len(packing.pack_sizes([1] * 8000 + [4000] * 3 + [2500] * 5, 8192)) == 5
+    assert time.perf_counter() - began < 1
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id < 2000 THEN NULL ELSE id END AS doc_id", "'w w w' AS text")
+    got = packing.pack(df, capacity=16, shard_rows=200).collect()
+    per = {}
+    for r in got:
+        per[r.bin_id >> 32] = per.get(r.bin_id >> 32, 0) + 1
+    assert len(got) == 3000 and sum(r.doc_id is None for r in got) == 2000 and len(per) > 10 and max(per.values()) < 500
