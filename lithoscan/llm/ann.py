@@ -8,11 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import checkpoint
+from ._base import checkpoint, if_small
 
 
 def probe_order(functions: int, probes: int) -> list[tuple[int, ...]]:
@@ -42,7 +42,7 @@ def probe_order(functions: int, probes: int) -> list[tuple[int, ...]]:
 class Hashes:
     """``tables`` tables of ``functions`` p-stable functions floor((a.x + b) / width)."""
 
-    def __init__(self, dim: int, tables: int, functions: int, width: float, probes: int, coarse: int, seed: int = 11):
+    def __init__(self, dim: int, tables: int, functions: int, width: float, probes: int, coarse: int = 1, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.tables, self.functions, self.width, self.coarse = tables, functions, width, coarse
         self.a = rng.standard_normal((tables, dim, functions)).astype(np.float32)
@@ -55,6 +55,9 @@ class Hashes:
         part = (slots[..., : self.coarse] * self.mult[: self.coarse]).sum(-1) * np.int64(1_000_003) + table
         return part, (slots * self.mult).sum(-1)
 
+    def slots(self, x: np.ndarray, table: int) -> np.ndarray:
+        return np.floor(self.place(x, table)).astype(np.int64)
+
     def place(self, x: np.ndarray, table: int) -> np.ndarray:
         return (x @ self.a[table] + self.b[table]) / self.width
 
@@ -73,6 +76,38 @@ class Hashes:
                 out[rows, k, f % m] += np.where(f < m, -1, 1)
         return out
 
+    def ranks(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """For each of ``q``, and each row of ``x`` (of all, or of its own if ``x`` has three axes), the first probe that meets it in any table."""
+        out = np.full((len(q), x.shape[-2]), len(self.sets), np.int32)
+        for t in range(self.tables):
+            probe = self.keys(self.probe_slots(q, t), t)[1]
+            mine = self.keys(self.slots(x.reshape(-1, x.shape[-1]), t), t)[1].reshape(x.shape[:-1])
+            for r in range(len(q)):
+                names, first = np.unique(probe[r], return_index=True)
+                row = mine if x.ndim == 2 else mine[r]
+                at = np.minimum(np.searchsorted(names, row), len(names) - 1)
+                out[r] = np.minimum(out[r], np.where(names[at] == row, first[at], len(self.sets)))
+        return out
+
+
+def fit(queries: np.ndarray, near: np.ndarray, sample: np.ndarray, length: float, recall: float) -> dict:
+    """The functions, slot width, tables and probes that meet the least of ``sample`` while they meet
+    a share ``recall`` of ``near``, the true neighbours (queries, k, dim) of pilot queries."""
+    best, dim = None, sample.shape[1]
+    for tables in (2, 4, 8) if recall <= 1 else ():
+        for functions in (4, 6, 8, 12, 16, 24):
+            for width in (0.5, 1.0, 1.5, 2.2, 3.0, 4.5):
+                h = Hashes(dim, tables, functions, width * length, 200)
+                at = np.sort(h.ranks(queries, near).ravel())
+                needed = int(at[min(len(at) - 1, int(math.ceil(recall * len(at))) - 1)])
+                if needed >= len(h.sets):
+                    continue
+                share = float((h.ranks(queries, sample) <= needed).mean())
+                if best is None or share < 0.95 * best["share"]:
+                    best = {"share": share, "functions": functions, "tables": tables, "width": width * length, "probes": needed + 1}
+    # where nothing is that good, all rows meet
+    return best or {"share": 1.0, "functions": 1, "tables": 1, "width": 1e6 * length, "probes": 1}
+
 
 def _search(ids: np.ndarray, vecs: np.ndarray, bucket: np.ndarray, q_ids: np.ndarray, q_vecs: np.ndarray, q_of: np.ndarray, q_bucket: np.ndarray, k: int):
     """For each query the k nearest members of the buckets it visits, by (distance, id): (query row, member row, distance).
@@ -141,65 +176,120 @@ def _mean(rows: DataFrame, dim: int, of: Callable[[np.ndarray], np.ndarray]) ->
     return np.sum([r["s"] for r in got], axis=0) / sum(r["n"] for r in got)
 
 
+def _pilot(rows: DataFrame, centre: np.ndarray, dim: int, k: int, pilots: int, sampled: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pilot queries, their true k nearest over the whole table, and a sample of rows (all centred): bounded, chosen by a hash of the id."""
+    rows = rows.withColumn("h", F.xxhash64("id", F.lit(29)))
+    got = rows.orderBy("h", "id").limit(pilots + sampled).collect()
+    take = np.array([r["v"] for r in got], np.float64).reshape(-1, dim)
+    q, ids = take[:pilots], np.array([r["id"] for r in got[:pilots]], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_d, best_v = np.full((len(q), k), np.inf), np.zeros((len(q), k, dim))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                b = whole.slice(at, 4096)
+                x = np.array(b.column(1).flatten(), np.float64).reshape(b.num_rows, dim)
+                d = ((q - centre) ** 2).sum(1)[:, None] + ((x - centre) ** 2).sum(1)[None] - 2 * ((q - centre) @ (x - centre).T)
+                d[ids[:, None] == np.array(b.column(0))[None]] = np.inf
+                m = min(k, d.shape[1])
+                top = np.argpartition(d, m - 1, axis=1)[:, :m] if d.shape[1] > m else np.tile(np.arange(m), (len(q), 1))
+                all_d = np.concatenate([best_d, np.take_along_axis(d, top, 1)], axis=1)
+                all_v = np.concatenate([best_v, x[top]], axis=1)
+                keep = np.argsort(all_d, axis=1)[:, :k]
+                best_d, best_v = np.take_along_axis(all_d, keep, 1), np.take_along_axis(all_v, keep[:, :, None], 1)
+        r, c = np.nonzero(np.isfinite(best_d))
+        yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(best_d[r, c]), pa.array(list(best_v[r, c]), pa.list_(pa.float64()))], ["q", "d", "v"])
+
+    found = rows.select("id", "v").mapInArrow(run, "q bigint, d double, v array<double>")
+    top = found.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "v"))), 1, k).alias("t")).collect()
+    near = [[x["v"] for x in r["t"]] for r in top if len(r["t"]) == k]
+    used = [r["q"] for r in top if len(r["t"]) == k]
+    return (q[used] - centre).astype(np.float32), (np.array(near).reshape(-1, k, dim) - centre).astype(np.float32), (take - centre).astype(np.float32)
+
+
 def nearest(
-    vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = 12, functions: int = 8,
-    width: float = 2.2, probes: int = 50, part_rows: int = 50_000,
+    vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", asking: Column | None = None, recall: float = 0.96,
+    part_rows: int = 8192, pilots: int = 64, sampled: int = 2048,
 ) -> DataFrame:
-    """(query_id, neighbour_id, rank, distance): for every row its ``k`` nearest rows by Euclidean distance.
+    """(query_id, neighbour_id, rank, distance): for every query its ``k`` nearest rows by Euclidean distance.
 
-    Each table cuts the space by ``functions`` p-stable projections into slots ``width`` typical
-    distances from the mean vector wide. A query visits its own bucket and ``probes`` - 1 perturbed ones of every
+    Queries are the rows of ``vectors`` that meet the condition ``asking`` (default: all); each is held against all rows.
+    Several tables cut the space by p-stable projections into slots. A query visits its own bucket and perturbed ones of every
     table, in the order of :func:`probe_order`; members met are ranked by exact distance, and the
     tables' candidates are merged. No bucket is cut short, and
     a list of candidates only behind its k nearest by exact distance and id.
 
-    Rows meet by (table, slots of the first functions): a query goes once to each part that it
-    visits, with its buckets there. So many first functions are used that a part of a
-    three-slot split has about ``part_rows`` rows.
+    Numbers of functions, tables and probes and the width of slots are fitted (:func:`fit`): among those that find a share
+    ``recall`` of the true neighbours of ``pilots`` rows (their neighbours are searched in the whole table), the one that meets the
+    fewest of ``sampled`` rows. Every row is indexed.
+
+    Rows meet by (table, slots of the first functions), as many functions as a part of about ``part_rows`` rows takes; a larger
+    part is cut into blocks of so many rows, each of which gets the queries that visit it, with their buckets there.
 
     Rows of the same id aren't neighbours of each other; repeated rows are one. Ties go to the
     lesser id. Rows with a null id, or a vector that is null, empty, of another length than the
-    longest, or with a null or non-finite element, neither search nor are found. An empty table
+    commonest (the longer, if two are), or with a null or non-finite element, neither search nor are found. An empty table
     gives no rows; other columns aren't read.
     """
     vec = F.col(vec_col).cast("array<float>")
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("v")).filter(
+    ask = F.lit(True) if asking is None else F.coalesce(asking, F.lit(False))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("v"), ask.alias("asks")).filter(
         F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     )
-    stats = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    schema = "query_id bigint, neighbour_id bigint, distance double"
-    if not stats["n"]:
+    dims = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    if dims is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, neighbour_id bigint, rank int, distance double")
-    dim = stats["dim"]
+    dim, n = dims["dim"], dims["n"]
     rows = rows.filter(F.size("v") == dim)
-    coarse = min(functions, max(1, math.ceil(math.log(max(stats["n"] / part_rows, 1), 3))))
     centre = _mean(rows, dim, lambda x: x)
-    length = float(_mean(rows, dim, lambda x: np.linalg.norm(x - centre, axis=1, keepdims=True))[0])
-    if stats["n"] <= 5 * k:  # neighbours are so large a part of the table that all rows meet
-        length *= 10_000
-    hashes = Hashes(dim, tables, functions, width * (length or 1.0), probes, coarse)
+    length = float(_mean(rows, dim, lambda x: np.linalg.norm(x - centre, axis=1, keepdims=True))[0]) or 1.0
+    pilot_q, near, sample = _pilot(rows, centre, dim, k, pilots, sampled)
+    # where neighbours are a large part of the table, all rows meet
+    found = fit(pilot_q, near, sample, length, recall if n > 20 * k and len(pilot_q) else 2.0)
+    hashes = Hashes(dim, found["tables"], found["functions"], found["width"], found["probes"])
+    for c in range(1, hashes.functions + 1):
+        hashes.coarse = c
+        if len(sample) and np.unique(hashes.keys(hashes.slots(sample, 0), 0)[0], return_counts=True)[1].max() * n <= part_rows * len(sample):
+            break
+    once = rows.groupBy("id", "v").agg(F.max("asks").alias("asks"))
+    tables = hashes.tables
     sent = T.StructType([T.StructField("part", T.LongType()), T.StructField("query", T.BooleanType()), T.StructField("id", T.LongType()), T.StructField("v", T.BinaryType()), T.StructField("buckets", T.BinaryType())])
 
+    def vectors_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x = np.array(b.column(b.schema.get_field_index("v")).flatten(), np.float32).reshape(b.num_rows, dim)
+        return x, (x - centre).astype(np.float32)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, int] = {}
+        for b in batches:
+            if b.num_rows:
+                x = vectors_of(b)[1]
+                for t in range(tables):
+                    for part, c in zip(*np.unique(hashes.keys(hashes.slots(x, t), t)[0], return_counts=True)):
+                        total[int(part)] = total.get(int(part), 0) + int(c)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["part", "n"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
                 ids = b.column(0)
-                x = np.array(b.column(1).flatten(), np.float32).reshape(b.num_rows, dim)
+                x, near_0 = vectors_of(b)
                 raw = pa.array([r.tobytes() for r in x], pa.binary())
-                x = (x - centre).astype(np.float32)
+                asks = np.flatnonzero(np.array(b.column(2), bool))
                 for t in range(tables):
-                    part, bucket = hashes.keys(np.floor(hashes.place(x, t)).astype(np.int64), t)
-                    n = len(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(n, bool)), ids, raw, pa.array([k.tobytes() for k in bucket], pa.binary())], sent.names)
-                    part, bucket = hashes.keys(hashes.probe_slots(x, t), t)
-                    row = np.repeat(np.arange(n), bucket.shape[1])
+                    part, bucket = hashes.keys(hashes.slots(near_0, t), t)
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(x), bool)), ids, raw, pa.array([key.tobytes() for key in bucket], pa.binary())], sent.names)
+                    if not len(asks):
+                        continue
+                    part, bucket = hashes.keys(hashes.probe_slots(near_0[asks], t), t)
+                    row = np.repeat(np.arange(len(asks)), bucket.shape[1])
                     part, bucket = part.ravel(), bucket.ravel()
-                    order = np.lexsort((part, row))
+                    order = np.lexsort((bucket, part, row))
                     row, part, bucket = row[order], part[order], bucket[order]
                     first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])))
                     stop = np.append(first[1:], len(row))
-                    who = pa.array(row[first])
+                    who = pa.array(asks[row[first]])
                     yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(np.ones(len(first), bool)), ids.take(who), raw.take(who), pa.array([bucket[a:z].tobytes() for a, z in zip(first, stop)], pa.binary())], sent.names)
 
     def meet(t: pa.Table) -> pa.Table:
@@ -207,17 +297,20 @@ def nearest(
         ids = np.array(t["id"])
         vecs = np.frombuffer(b"".join(t["v"].to_pylist()), np.float32).reshape(-1, dim)
         keys = [np.frombuffer(x, np.int64) for x in t["buckets"].to_pylist()]
-        inside, asking = np.flatnonzero(~q), np.flatnonzero(q)
-        if not len(inside) or not len(asking):
+        inside, asks = np.flatnonzero(~q), np.flatnonzero(q)
+        if not len(inside) or not len(asks):
             return pa.table({"query_id": pa.array([], pa.int64()), "neighbour_id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
         bucket = np.concatenate([keys[i] for i in inside])
-        q_bucket = np.concatenate([keys[i] for i in asking])
-        q_of = np.repeat(np.arange(len(asking)), [len(keys[i]) for i in asking])
-        row, member, d = _search(ids[inside], vecs[inside], bucket, ids[asking], vecs[asking], q_of, q_bucket, k)
-        return pa.table({"query_id": ids[asking][row], "neighbour_id": ids[inside][member], "distance": d})
-
-    once = rows.dropDuplicates(["id", "v"])
-    found = once.mapInArrow(send, sent).groupBy("part").applyInArrow(meet, schema)
-    best = found.groupBy("query_id", "neighbour_id").agg(F.min("distance").alias("distance"))
+        q_bucket = np.concatenate([np.unique(keys[i]) for i in asks])
+        q_of = np.repeat(np.arange(len(asks)), [len(np.unique(keys[i])) for i in asks])
+        row, member, d = _search(ids[inside], vecs[inside], bucket, ids[asks], vecs[asks], q_of, q_bucket, k)
+        return pa.table({"query_id": ids[asks][row], "neighbour_id": ids[inside][member], "distance": d})
+
+    parts = once.select("v").mapInArrow(sizes, "part bigint, n bigint").groupBy(F.col("part").alias("of")).agg(F.ceil(F.sum("n") / part_rows).cast("int").alias("blocks"))
+    parts = if_small(checkpoint(parts))
+    placed = once.select("id", "v", "asks").mapInArrow(send, sent).join(parts, F.col("part") == F.col("of"))  # a part without rows has none to find
+    block = F.when(F.col("query"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    met = placed.withColumn("block", F.explode(block)).groupBy("part", "block").applyInArrow(meet, "query_id bigint, neighbour_id bigint, distance double")
+    best = met.groupBy("query_id", "neighbour_id").agg(F.min("distance").alias("distance"))
     top = best.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))), 1, k).alias("t"))
     return top.select("query_id", F.posexplode("t").alias("r", "x")).select("query_id", F.col("x.neighbour_id").alias("neighbour_id"), (F.col("r") + 1).cast("int").alias("rank"), F.round("x.distance", 6).alias("distance"))

@@ -45,7 +45,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.nearest(table(spark, sf_dir, "embeddings"), k=10)
+    """Queries are the rows whose id is divisible by 20; each is held against all rows."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=10, asking=F.col("vec_id") % 20 == 0)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
