@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +45,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver drop what it no longer refers to, so that shuffle files behind a checkpoint are deleted now, not some time.
+
+    It takes two rounds: the first frees what Python held of the JVM's objects, the second these.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df``, a checkpoint, marked for broadcast if it has at most ``rows`` rows; else it is left to a shuffle join."""
     return F.broadcast(df) if df.count() <= rows else df
