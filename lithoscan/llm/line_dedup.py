@@ -237,19 +237,20 @@ def _marked_by_join(docs: DataFrame, id_col: str, text_col: str, name: str, numb
     return joined.withColumn(name, F.coalesce(real, F.array().cast("array<int>")))
 
 
-def _lines(marked: DataFrame) -> DataFrame:
-    """(id, i, h, line) of the numbered lines of (id, text, numbers)."""
+def _lines(slim: DataFrame, suspects=None) -> DataFrame:
+    """(id, i, h, line) of the suspect lines of (id, text), by the broadcast filter, or of (id, text, numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = suspects and suspects.value
         for b in batches:
             for i, j, data, off in text_batches(b, "text"):
                 h, starts, ends, row, number = filled_lines(data, off)
-                hit = _asked(row, number, b.column(2).slice(i, j - i))
+                hit = s.test(h) if s else _asked(row, number, b.column(2).slice(i, j - i))
                 raw = data.tobytes()
                 line = pa.array([raw[a:z] for a, z in zip(starts[hit].tolist(), ends[hit].tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[hit] + i)), pa.array(number[hit], pa.int32()), pa.array(h[hit].view(np.int64)), line.cast(pa.string())], ["id", "i", "h", "line"])
 
-    return marked.mapInArrow(run, f"id {marked.schema['id'].dataType.simpleString()}, i int, h bigint, line string")
+    return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, i int, h bigint, line string")
 
 
 def _asked(row: np.ndarray, number: np.ndarray, lists: pa.Array) -> np.ndarray:
@@ -259,6 +260,12 @@ def _asked(row: np.ndarray, number: np.ndarray, lists: pa.Array) -> np.ndarray:
     return np.isin((row << 32) + number, wanted)
 
 
+def _named(row: np.ndarray, number: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """One 64-bit name of (row, line number, hash)."""
+    place = (row.astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64)
+    return mix(mix(place) + h.astype(np.uint64))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 64 << 20, segment_bytes: int = 1 << 30, least_segments: int = 16) -> DataFrame:
     """``docs`` with each repeated line left only where it occurs first, by (id, line number).
 
@@ -280,16 +287,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     segments = 1 << (max(least_segments, size // segment_bytes) - 1).bit_length()
     (name,) = fresh(docs, "suspects")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     twice = checkpoint(twice_seen(docs, segments, text_col))
     total = twice.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
     if total <= broadcast_bytes:
         shared = spark.sparkContext.broadcast(Suspects(segments, [(r["seg"], r["m"], bytes(r["bits"])) for r in twice.collect()]))
         mark = lambda d: _marked_by_broadcast(d, text_col, name, shared)
+        lines = _lines(slim, shared)
     else:
         numbers = checkpoint(suspect_numbers(docs, twice, segments, id_col, text_col))
         mark = lambda d: _marked_by_join(d, id_col, text_col, name, numbers)
-    marked = mark(docs.select(id_col, text_col)).filter(F.size(name) > 0)
-    lines = _lines(marked.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), name))
+        lines = _lines(_marked_by_join(slim, "id", "text", "numbers", numbers).filter(F.size("numbers") > 0))
     first = lines.groupBy("line").agg(F.min(F.struct("id", "i")).alias("at"), F.min("h").alias("h"))
     keep_name, has = fresh(docs, "kept", "kept_id")
     kept = checkpoint(first.groupBy(F.col("at.id").alias(has)).agg(F.collect_list(F.struct(F.col("at.i").alias("i"), "h")).alias(keep_name)))
@@ -309,15 +317,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 part = b.slice(i, j - i)
                 h, _, _, row, number = filled_lines(data, off)
                 hit = _asked(row, number, part.column(where[name]))
+                lists = part.column(where[keep_name])
+                kept_lines = lists.flatten()
+                owner = np.repeat(np.arange(j - i), np.array(lists.value_lengths().fill_null(0), np.int64))
+                stays = _named(owner, np.array(kept_lines.field("i"), np.int64), np.array(kept_lines.field("h"), np.int64))
+                hit &= ~np.isin(_named(row, number, h), stays)
                 out = part.column(at).to_pylist()
-                kept_of = part.column(where[keep_name]).to_pylist()
-                gone: dict[int, set[int]] = {}
-                known = {r: {(x["i"], x["h"]) for x in k} for r, k in enumerate(kept_of) if k}
-                for r, x, key in zip(row[hit].tolist(), number[hit].tolist(), h[hit].view(np.int64).tolist()):
-                    if (x, key) not in known.get(r, ()):
-                        gone.setdefault(r, set()).add(x)
-                for r, drop_ in gone.items():
-                    out[r] = "\n".join([x for k, x in enumerate(out[r].split("\n")) if k not in drop_])
+                row, number = row[hit], number[hit]
+                for r, numbers_ in zip(row[np.flatnonzero(np.append(True, row[1:] != row[:-1]))].tolist() if len(row) else (), np.split(number, np.flatnonzero(np.diff(row)) + 1)):
+                    gone = set(numbers_.tolist())
+                    out[r] = "\n".join([x for k, x in enumerate(out[r].split("\n")) if k not in gone])
                 cols = list(part.columns[: len(columns)])
                 cols[at] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays(cols, columns)
