@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,7 +75,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token_orc/{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    path = f"{shared_dir(spark)}/token_orc/{uuid.uuid4().hex}"  # of this run: rows are read from there when the result is
     token_orc.write_token_orc(table(spark, sf_dir, "documents"), path, VOCABULARY)
     return token_orc.read_token_orc(spark, path)
 
@@ -86,9 +86,18 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "url", (F.expr("timestamp_ntz'2024-01-01 00:00:00'") + day).alias("fetched_at"))
 
 
+def url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, category, action, at): LISTS, and a report of every page's URL, which holds for 60 days from a date of its own."""
+    key = F.regexp_replace(F.regexp_replace(F.col("url"), r"^[A-Za-z]+://", ""), r"[?#].*$", "")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 11, F.lit(366)).cast("int"))
+    entry = lambda action, n: F.struct(F.lit(action).alias("action"), F.date_add(day, n).cast("string").alias("at"))
+    reports = table(spark, sf_dir, "pages").select(key.alias("key"), F.lit("reported").alias("category"), F.explode(F.array(entry("add", 0), entry("remove", 60))).alias("e"))
+    fixed = spark.createDataFrame(LISTS, "key string, category string, action string, at string")
+    return fixed.unionByName(reports.select("key", "category", "e.action", "e.at"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = spark.createDataFrame(LISTS, "key string, category string, action string, at string")
-    d = url_filter.filter_urls(captures(spark, sf_dir), lists)
+    d = url_filter.filter_urls(captures(spark, sf_dir), url_lists(spark, sf_dir))
     return d.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("fetched_at", "listed_since")})
 
 
@@ -144,7 +153,9 @@ SELECT doc_id, {extra or 'domain, lang, source, n AS n_tokens'}, CAST(unnest(ran
 _VALUES = ", ".join(f"('{k}', '{c}', '{a}', TIMESTAMP '{t}')" for k, c, a, t in LISTS)
 
 URL_SQL = rf"""
-WITH e AS (SELECT regexp_replace(lower(k), '^www\.', '') AS key, c AS category, a AS action, t AS day FROM (VALUES {_VALUES}) v(k, c, a, t)),
+WITH raw AS (SELECT k, c, a, t FROM (VALUES {_VALUES}) v(k, c, a, t)
+ UNION ALL SELECT regexp_replace(regexp_replace(url, '^[A-Za-z]+://', ''), '[?#].*$', ''), 'reported', unnest(['add', 'remove']), TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * CAST((page_id * 11) % 366 + unnest([0, 60]) AS INTEGER) FROM pages),
+e AS (SELECT rtrim(regexp_replace(lower(k), '^www\.', ''), '/') AS key, c AS category, t AS day, max(a) AS action FROM raw GROUP BY ALL),
 p AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * CAST((page_id * 7) % 366 AS INTEGER) AS t,
       regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\.', '') AS host, lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages),
 hit AS (SELECT page_id, key, category, max(day) AS since FROM p JOIN e ON day <= t AND (host = split_part(key, '/', 1) OR ends_with(host, '.' || split_part(key, '/', 1)))

@@ -1,6 +1,7 @@
 import base64
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -79,6 +80,79 @@ def test_orc_lookup_is_pushed_down(spark, tmp_path, sf_dir):
     assert orc.ORCFile(f"{path}/{part}").row_index_stride == 1000
 
 
+def footer_streams(path):
+    """Kinds of streams of every stripe, from the footers (protocol buffers: stripe footer field 1 is a stream, whose field 1 is its kind)."""
+    import zstandard
+    from pyarrow import orc
+
+    def varint(raw, at):
+        out = shift = 0
+        while True:
+            out |= (raw[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if not raw[at - 1] & 128:
+                return out, at
+
+    def fields(raw):
+        at = 0
+        while at < len(raw):
+            tag, at = varint(raw, at)
+            if tag & 7 == 0:
+                value, at = varint(raw, at)
+            else:
+                n, at = varint(raw, at)
+                value, at = raw[at : at + n], at + n
+            yield tag >> 3, value
+
+    def plain(raw):
+        out = b""
+        while raw:
+            head = int.from_bytes(raw[:3], "little")
+            block, raw = raw[3 : 3 + (head >> 1)], raw[3 + (head >> 1) :]
+            out += block if head & 1 else zstandard.ZstdDecompressor().decompressobj().decompress(block)
+        return out
+
+    raw = open(path, "rb").read()
+    post = dict(fields(raw[-1 - raw[-1] : -1]))
+    footer = plain(raw[-1 - raw[-1] - post[1] : -1 - raw[-1]])
+    stripes = [dict(fields(v)) for k, v in fields(footer) if k == 3]
+    assert len(stripes) == orc.ORCFile(path).nstripes
+    out = []
+    for s in stripes:
+        at = s[1] + s[2] + s[3]
+        out.append([(dict(fields(v))[1], dict(fields(v)).get(2, 0)) for k, v in fields(plain(raw[at : at + s[4]])) if k == 1])
+    return out
+
+
+@needs_vocabulary
+def test_orc_has_indexes_and_bloom_filters_and_a_lookup_skips_row_groups(spark, tmp_path):
+    path = str(tmp_path / "ids")
+    df = spark.range(30_000).selectExpr("id * 2 AS doc_id", "'some words of a text' AS text").repartition(1)
+    token_orc.write_token_orc(df, path, queries.VOCABULARY, row_stride=1000)
+    part = next(f"{path}/{f}" for f in os.listdir(path) if f.endswith(".orc"))
+    for streams in footer_streams(part):
+        assert {c for kind, c in streams if kind == 6} >= {0, 1} and {c for kind, c in streams if kind == 8} == {1}  # row indexes; a Bloom filter of the id
+
+    def read(ids):
+        found = token_orc.read_token_orc(spark, path, ids)
+        found.collect()
+        metrics = found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+        return found.count(), metrics.apply("numOutputRows").value()
+
+    assert read(None) == (30_000, 30_000)
+    # rows are in no order here, so that only the Bloom filters can tell that row groups don't have these ids
+    assert read([31_001, 17_777])[1] < 3_000
+    one, rows = read([40_000])
+    assert one == 1 and rows < 6_000
+
+
+@needs_vocabulary
+def test_orc_results_of_two_runs_stay_apart(spark, sf_dir):
+    first = queries.op9_token_orc(spark, sf_dir)
+    second = queries.op9_token_orc(spark, sf_dir)
+    assert sorted(map(str, first.collect())) == sorted(map(str, second.collect()))
+
+
 def exact(ids, x, k):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     d[ids[:, None] == ids[None]] = np.inf
@@ -241,17 +315,61 @@ def test_quality_keeps_clean_and_drops_junk(spark, sf_dir):
     assert sum(r.doc_id not in kept for r in junk) >= 0.9 * len(junk)
 
 
-def test_quality_thresholds_by_rank_and_edges(spark):
+def fences_by_hand(rows, spread):
+    """{(lang, source): {measure: (median, low, high)}, weight} from (lang, source, values) by sorting."""
+    rank = lambda v, q: sorted(v)[max(0, -(-int(q * 1000) * len(v) // 1000) - 1)]
+
+    def draw(own, wider, prior=quality.PRIOR_ROWS):
+        n, q = own
+        return wider if q is None else q if wider is None else [(n * a + prior * b) / (n + prior) for a, b in zip(q, wider)]
+
+    def settled(m, qs, positive, lang, source):
+        def of(part):
+            v = [r[2][m] for r in part if r[2][m] > 0 or not positive]
+            return len(v), [rank(v, q) for q in qs] if v else None
+
+        top = of(rows)
+        top = draw(top, [0.0, 0.0], quality.PRIOR_NONE) if positive and top[1] else top[1]
+        return draw(of([r for r in rows if r[:2] == (lang, source)]), draw(of([r for r in rows if r[0] == lang]), top))
+
+    out = {}
+    for key in {r[:2] for r in rows}:
+        out[key] = {"short": settled("weight", [quality.SHORT], False, *key)[0]}
+        for m, side in quality.MEASURES.items():
+            q, mid = settled(m, [0.25, 0.5], m.endswith("_share"), *key), settled(m, [0.5], False, *key)[0]
+            out[key][m] = (mid, q[0] - spread * (q[1] - q[0]) if q and side == "both" else None, q[1] + spread * (q[1] - q[0]) if q else None)
+    return out
+
+
+def test_quality_fences_and_filter_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 150")
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()] + [(1000 + k, t, "en", "tiny") for k, t in enumerate(["!!!! #### ****", "A 1 B 2", "word"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    made = [(r.lang, r.source, {m: float(r[m]) for m in [*quality.MEASURES, "weight"]}, r.id) for r in quality.measures(df).filter("solid").collect()]
+    want = fences_by_hand([r[:3] for r in made], 8.0)
+    for t in quality.thresholds(quality.measures(df), 8.0).collect():
+        own = want[t.lang__t, t.source__t]
+        assert abs(own["short"] - t.short__t) < 1e-9
+        for m, side in quality.MEASURES.items():
+            got = (t[f"{m}__mid"], t[f"{m}__low"] if side == "both" else None, t[f"{m}__high"])
+            assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for a, b in zip(own[m], got)), (t.lang__t, t.source__t, m, own[m], got)
+    keep = set()
+    for lang, source, v, i in made:
+        own = want[lang, source]
+        judged = {m: (v[m] * v["weight"] + own[m][0] * own["short"]) / (v["weight"] + own["short"]) for m in quality.MEASURES}
+        if all((own[m][1] is None or j >= own[m][1] - 1e-12) and (own[m][2] is None or j <= own[m][2] + 1e-12) for m, j in judged.items()):
+            keep.add(i)
+    got = {r.doc_id for r in quality.quality_filter(df).collect()}
+    assert got == keep and 0 < len(keep) < len(made)
+
+
+def test_quality_thresholds_and_edges(spark):
     rng = random.Random(1)
     rows = [(k, " ".join("w" * rng.randint(3, 9) for _ in range(60)), rng.choice(["en", None]), "s") for k in range(400)]
     bad = [(900, "!!! ### " * 60, "en", "s"), (901, None, "en", "s"), (902, "", None, None), (903, " \n", "en", "s"), (904, "LOUD WORDS " * 40, "en", "s"), (905, "same " * 80, None, "s")]
     df = spark.createDataFrame(rows + bad + [rows[0]], "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS solid", "2 AS n_words", "3 AS symbol_share")
     got = [r.doc_id for r in quality.quality_filter(df).collect()]
     assert sorted(got) == sorted([k for k, *_ in rows] + [0])
-    m = quality.measures(df).filter("solid AND lang = 'en'").collect()
-    q = quality.thresholds(quality.measures(df), 4.0).filter("lang__t = 'en'").first()
-    v = sorted(r.word_bytes for r in m)
-    assert v[int(len(v) * 0.49) - 1] <= q["word_bytes__mid"] <= v[int(len(v) * 0.51) + 1]
     assert quality.quality_filter(df.limit(0)).collect() == []
 
 
@@ -271,9 +389,33 @@ def test_url_filter_in_time(spark):
         (10, "not a url", "2024-05-01", None), (11, "http://bad.example/", None, None), (12, "http://n.example/", "2024-05-01", "n.example"), (13, "http://notbad.example/", "2024-01-11", None), (None, "http://bad.example/", "2024-01-11", "bad.example"),
     ]
     df = spark.createDataFrame([u[:3] for u in urls] + [urls[1][:3]], "page_id long, url string, fetched_at string").withColumn("fetched_at", F.col("fetched_at").cast("timestamp_ntz")).selectExpr("*", "1 AS key", "2 AS t", "3 AS id")
-    got = url_filter.filter_urls(df, lists).collect()
-    assert len(got) == len(urls) + 1
-    assert {(r.page_id, r.matched_key) for r in got} == {(u[0], u[3]) for u in urls}
-    assert all(r.blocked == (r.matched_key is not None) for r in got)
+    for limit in (16 << 20, 0):
+        got = url_filter.filter_urls(df, lists, broadcast_bytes=limit).collect()
+        assert len(got) == len(urls) + 1
+        assert {(r.page_id, r.matched_key) for r in got} == {(u[0], u[3]) for u in urls}
+        assert all(r.blocked == (r.matched_key is not None) for r in got)
     assert not any(r.blocked for r in url_filter.filter_urls(df, lists.limit(0)).collect())
     assert url_filter.filter_urls(df.limit(0), lists).collect() == []
+
+
+def test_url_filter_of_a_list_too_large_for_broadcast(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    lists = queries.url_lists(spark, sf_dir)
+    pages = queries.captures(spark, sf_dir)
+    wide, narrow = (sorted(map(tuple, url_filter.filter_urls(pages, lists, broadcast_bytes=n).collect()), key=str) for n in (0, 16 << 20))
+    assert lists.count() > 300 and wide == narrow and 0 < sum(r[3] for r in wide) < len(wide)
+
+
+def test_captures_stay_where_they_are_if_the_list_is_small(spark, sf_dir):
+    plan = url_filter.filter_urls(queries.captures(spark, sf_dir), queries.url_lists(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_very_long_urls_take_no_time(spark):
+    lists = spark.createDataFrame([("a.example/x/y/z/", "s", "add", "2024-01-01"), ("b.example", "s", "add", "2024-01-01")], "key string, category string, action string, at string")
+    urls = [(1, "http://a.example/x/y/z" + "/seg" * 30_000), (2, "http://" + "l." * 100 + "b.example/" + "q/" * 20_000), (3, "http://c.example/" + "a" * 10**6)]
+    df = spark.createDataFrame(urls, "page_id long, url string").withColumn("fetched_at", F.lit("2024-02-01").cast("timestamp_ntz"))
+    url_filter.filter_urls(df.limit(0), lists).collect()
+    began = time.perf_counter()
+    got = {r.page_id: r.matched_key for r in url_filter.filter_urls(df, lists).collect()}
+    assert got == {1: "a.example/x/y/z", 2: "b.example", 3: None} and time.perf_counter() - began < 8
