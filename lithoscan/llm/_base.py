@@ -56,6 +56,12 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df``, a checkpoint, marked for broadcast if it has at most ``rows`` rows; else it is left to a shuffle join."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -262,7 +262,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     distance from the nearest exceeds the fence of that language and size class (:func:`fences`),
     which stays below the distance of text in other languages (:func:`expect`).
 
-    Null, empty and letterless texts are rejected with distance 1; null labels aren't trained on,
+    Null, empty and letterless texts are rejected with distance 1; a very long text is scored whole; null labels aren't trained on,
     and without any label all is rejected; repeated rows and null ids are scored each; ties go
     to the first language by name; an empty table gives no rows; other columns aren't returned.
     """

@@ -70,16 +70,18 @@ def mix_sources(
 
     Weights are propagated through the tree domain-language-source (:func:`leaf_budgets`). A leaf
     with budget b and t tokens is used b // t times as a whole (epochs 0, 1, ...), and then gives
-    the prefix of at most b % t tokens of its next epoch: documents ordered by an MD5 of seed,
-    epoch and id, so that each epoch has an order of its own. The prefix ends before the first
-    document that exceeds it; rows of one id stand or fall together.
+    a prefix of about b % t tokens of its next epoch: documents ordered by an MD5 of seed,
+    epoch and id, so that each epoch has an order of its own. The prefix ends with or before the first
+    document that exceeds it, whichever is nearer (with it, if both are), so that one long document early in the order doesn't
+    empty a leaf's share; rows of one id stand or fall together.
 
     Order needs no global sort: tokens are summed by leaf and the first ``bucket_chars`` hex digits
     of the hash, and only each leaf's bucket in which its prefix ends is ordered. Texts aren't
     shuffled; every decision reaches the documents as a bound on the hash by leaf.
 
     Null languages, sources and domains count as the empty name, null ids as the empty string;
-    documents without tokens stand in epoch 0 and in any prefix that reaches them; an empty table
+    documents without tokens stand in epoch 0 and in any prefix that reaches them, but those of a leaf without a token
+    are left out; repeated rows count each; a very long text is a document of many tokens; an empty table
     gives no rows. Other columns are kept (added names get leading underscores if taken).
     """
     n = word_count("text") if length is None else length
@@ -99,8 +101,8 @@ def mix_sources(
     sums = sums.withColumn("before", F.coalesce(F.sum("s").over(run), F.lit(0)))
     edge = checkpoint(sums.filter(F.col("before") + F.col("s") > F.col("rest")).groupBy(*leaf).agg(F.min(F.struct("bucket", "before")).alias("e")).select(*leaf, F.col("e.bucket").alias("edge"), F.col("e.before").alias("before")))
     inside = placed.join(if_small(edge), leaf).filter(F.col("bucket") == F.col("edge"))
-    peers = Window.partitionBy(*leaf).orderBy("h").rangeBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(peers)).filter(F.col("upto") <= F.col("rest"))
+    inside = inside.groupBy(*leaf, "h").agg(F.sum("n").alias("n"), F.max("before").alias("before"), F.max("rest").alias("rest"))
+    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("h"))).filter("2 * upto - n <= 2 * rest")
     last = inside.groupBy(*leaf).agg(F.max("h").alias("last"))
     mark = fresh(docs, *[f"{x}__d" for x in leaf])
     at = fresh(docs, *[f"{x}__m" for x in leaf])

@@ -146,7 +146,8 @@ midg AS ({_fill_sql('mid', 'domain', 'language')}),
 low AS (SELECT l.*, {_case('l.src', m.sources, m.default)} AS weight, g.given AS budget FROM leaves l JOIN midg g USING (domain, language)),
 plan AS (SELECT domain, language, src, given // tokens AS whole, given % tokens AS rest FROM ({_fill_sql('low', 'domain, language', 'src')})),
 placed AS (SELECT d.*, whole, rest, md5('{m.seed}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM d JOIN plan p ON d.domain = p.domain AND coalesce(d.lang, '') = p.language AND coalesce(d.source, '') = p.src),
-used AS (SELECT *, whole + CASE WHEN rest > 0 AND sum(n) OVER (PARTITION BY domain, lang, source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest THEN 1 ELSE 0 END AS times FROM placed)
+summed AS (SELECT *, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(n) OVER (PARTITION BY domain, lang, source, h) AS own FROM placed),
+used AS (SELECT *, whole + CASE WHEN rest > 0 AND upto - rest <= rest - (upto - own) THEN 1 ELSE 0 END AS times FROM summed)
 SELECT doc_id, {extra or 'domain, lang, source, n AS n_tokens'}, CAST(unnest(range(0, times)) AS INTEGER) AS epoch FROM used WHERE times > 0"""
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces whose counts a worker remembers before it starts afresh.
 MEMO = 300_000
+#: Characters of the longest piece that is remembered.
+LONG_PIECE = 100
 
 
 @functools.lru_cache(maxsize=4)
@@ -75,7 +77,8 @@ class _Counts(dict):
 
     def __missing__(self, piece: str) -> int:
         n = merged_length(piece.encode("utf-8", "surrogatepass"), self.ranks)
-        self[piece] = n
+        if len(piece) <= LONG_PIECE:
+            self[piece] = n
         return n
 
 
@@ -85,7 +88,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     ``vocabulary`` is the path of a rank file that every executor can read. A text is split by
     SPLIT, and each piece merged by :func:`merged_length`; a worker remembers MEMO pieces.
 
-    A null text has a null count, an empty one 0. Repeated rows and ids are counted each, a null
+    A null text has a null count, an empty one 0. A very long text is split and merged piece by piece; a long piece takes memory in
+    proportion to its bytes, and isn't remembered. Repeated rows and ids are counted each, a null
     id stays null, an empty table gives no rows, and other columns are neither read nor returned.
     No shuffle.
     """

@@ -60,3 +60,26 @@ def test_prefix_is_the_same_with_any_bucket(spark):
     m = mixing.Mix(budget_permille=430)
     a, b = ({(r.doc_id, r.epoch_) for r in mixing.mix_sources(df, m, F.lit("d"), bucket_chars=c).collect()} for c in (1, 4))
     assert a == b and len(a) < 300
+
+
+def test_a_long_document_early_in_the_order_does_not_empty_its_leaf(spark):
+    import hashlib
+
+    for seed in range(6):
+        rows = [(k, "w " * (400 if k == 0 else 10), "en", f"s{k % 2}") for k in range(60)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        m = mixing.Mix(budget_permille=500, seed=seed)
+        leaves = [(r.source, r.tokens, r.given) for r in mixing.leaf_budgets(df.groupBy(F.lit("d").alias("domain"), F.lit("en").alias("language"), "source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("tokens")), m).collect()]
+        used = {}
+        for r in mixing.mix_sources(df, m, F.lit("d")).collect():
+            used.setdefault(r.source, []).append((r.doc_id, r.epoch_))
+        for source, tokens, given in leaves:
+            whole, rest = divmod(given, tokens)
+            of = sorted((hashlib.md5(f"{seed}:{whole}:{k}".encode()).hexdigest(), k, len(t.split())) for k, t, _, s in rows if s == source)
+            want, upto = [(k, e) for _, k, _ in of for e in range(whole)], 0
+            for _, k, n in of:
+                if abs(upto + n - rest) > abs(rest - upto) or upto >= rest:
+                    break
+                want.append((k, whole))
+                upto += n
+            assert sorted(used.get(source, [])) == sorted(want)

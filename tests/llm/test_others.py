@@ -1,4 +1,5 @@
 import base64
+import math
 import os
 import random
 import time
@@ -248,6 +249,63 @@ def test_language_accuracy_and_clean_documents(spark, sf_dir):
     assert sum(r.lang_id == r.lang for r in kept) >= 0.99 * len(kept)
 
 
+def slow_grams(text):
+    """{feature: count} of one text, byte by byte."""
+    low = []
+    for b in (text or "").encode():
+        c = b if 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32
+        if not (c == 32 and low and low[-1] == 32):
+            low.append(c)
+    out = {}
+    for size in (2, 3):
+        for k in range(len(low) - size + 1):
+            v = int.from_bytes(bytes(low[k : k + size]), "big") + (0x51000000 if size == 3 else 0)
+            f = (v * 2654435761 & 0xFFFFFFFF) >> 20
+            out[f] = out.get(f, 0) + 1
+    return out, any(c != 32 for c in low)
+
+
+def test_language_against_brute_force(spark, sf_dir):
+    """Weights, distances, fences and decisions are computed again from their definitions."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(10**6, "", "en"), (10**6 + 1, None, "en"), (10**6 + 2, "12 !?", None), (10**6 + 3, "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan", None), (10**6 + 4, "é", None)]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    rows = docs.collect()
+    model = langid.train(docs)
+    counted = {r.doc_id: slow_grams(r.text) for r in rows}
+    df = {}
+    for grams, _ in counted.values():
+        for f in grams:
+            df[f] = df.get(f, 0) + 1
+    idf = {f: math.log((1 + len(rows)) / (1 + df.get(f, 0))) + 1 for f in range(langid.DIM)}
+    assert all(abs(idf[f] - model.idf[f]) < 1e-4 for f in idf)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-5) and [list(model.owner).count(k) for k in range(len(model.languages))] == [4] * len(model.languages)
+    scored = {}
+    for r in rows:
+        grams, some = counted[r.doc_id]
+        v = {f: math.log1p(n) * idf[f] for f, n in grams.items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        near = [(1 - sum(x / norm * float(c[f]) for f, x in v.items()), k) for k, c in enumerate(model.centroids)]
+        d, k = min(near)
+        scored[r.doc_id] = (model.languages[model.owner[k]], d, int(math.log2(max(1, len((r.text or "").encode()))))) if some and grams else (None, 1.0, 0)
+    rank = lambda v, q: sorted(v)[max(0, math.ceil(q * len(v)) - 1)]
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    for i, (lang, d, size) in scored.items():
+        assert abs(got[i].distance - d) < 2e-5
+        ok = False
+        if lang:
+            low, high, bound = model.expected[model.languages.index(lang), size]
+            same = [e for la, e, s in scored.values() if (la, s) == (lang, size)]
+            if len(same) >= langid.LEAST:
+                low, q3 = rank(same, 0.25), rank(same, 0.75)
+                fence = q3 + 8 * max(q3 - low, 0.01)
+            else:
+                fence = max(high + 8 * max(high - low, 0.01), (high + bound) / 2)
+            ok = d <= min(fence, bound) if abs(d - min(fence, bound)) > 1e-4 else got[i].accepted
+        assert got[i].accepted == ok and got[i].lang_id == (lang if ok else None), (i, lang, d)
+    assert 0 < sum(r.accepted for r in got.values()) < len(got)
+
+
 def test_language_held_out(spark):
     words = {"xx": ["alba", "moro", "tinta", "vela"], "yy": ["krsch", "wunst", "pfalt", "zwerk"], "zz": ["ooei", "uaia", "eiou", "aeio"]}
     rng = random.Random(3)
