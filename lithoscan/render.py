@@ -20,6 +20,13 @@ def table(df: DataFrame, rows: int = 200) -> str:
     return "\n".join([line(names), rule, *map(line, body), *more])
 
 
+def code(df: DataFrame, column: str, rows: int = 200) -> str:
+    """A fenced block of at most ``rows`` lines, longer than any fence in it."""
+    got = [r[0] for r in df.select(column).limit(rows + 1).collect()]
+    fence = "`" * max(3, 1 + max((len(x) - len(x.lstrip("`")) for x in map(str.strip, got)), default=0))
+    return "\n".join([fence, *got[:rows], fence, *([f"*(more than {rows} lines)*"] if len(got) > rows else [])])
+
+
 def cell(v: object) -> str:
     if v is None:
         return ""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import FILE_NAME, Config, positive
-from .operators import churn, graph, imports, insights, notebook, signatures, symbols, text, tree
+from .operators import blocks, churn, graph, imports, insights, notebook, signatures, symbols, text, tree
 from .prompts import prompt
 from .session import checkpoint
 from .sources import git
@@ -42,9 +42,8 @@ class Repository:
 
     @cached_property
     def tags(self) -> DataFrame:
-        """Exact spans for Python, line rules for other languages."""
-        by_rule = symbols.regex_tags(self.lines.filter(text.extension(F.col("path")) != "py"))
-        return checkpoint(symbols.python_tags(self.files).unionByName(by_rule))
+        """From syntax trees for Python, from rules and blocks for other languages."""
+        return checkpoint(symbols.python_tags(self.files).unionByName(blocks.block_tags(self.files)))
 
     @cached_property
     def imports(self) -> DataFrame:
@@ -202,10 +201,10 @@ class Repository:
         ins = self.insights()
         summary = checkpoint(self.churn_summary())
         out: dict[str, object] = {"prompt": prompt(task), "readme": text.readme_summary(self.lines.filter(F.lower("path").rlike(r"^readme(\.md)?$"))), "entrypoints": ins["entrypoints"], "dispatch": ins["dispatch"], "boundaries": ins["boundaries"]}
-        shallow = self.files.select("path", "loc").filter(F.size(F.split("path", "/")) <= depth)
         if rank:
             out |= {f"churn_{k}": v for k, v in self.churn().items()}
-        out["tree"] = tree.expand_budgeted(shallow, c.primer_tree_budget, summary)
+        shown = tree.expand_budgeted(self.files.select("path", "loc"), c.primer_tree_budget, summary)  # of all files; depth only cuts what is shown
+        out["tree"] = shown.filter(F.size(F.split("path", "/")) <= depth)
         if rank:
             out |= {"critical": ins["critical"], "tests": ins["tests"], "commands": ins["commands"], "symbols": self.symbols(), "modules": tree.top_directory_summary(self.files, self.tags, text.readme_summary(self.lines))}
         if rank == 2:

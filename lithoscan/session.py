@@ -24,3 +24,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iteration; the copy survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def local_session() -> SparkSession:
+    """The session there is, else one on all cores of this machine."""
+    b = SparkSession.builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    spark = SparkSession.getActiveSession() or b.master("local[*]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
