@@ -129,7 +129,7 @@ def test_tree(repo):
 
 def test_symbols(repo):
     got = {(r.path, r.symbol): (r.kind, r.span) for r in repo.symbols().collect()}
-    assert got["src/main.py", "Job"] == ("class", "L6-15") and got["src/main.py", "Job.start"] == ("member", "L12-15") and got["lib/go.sh", "cmd_go"] == ("function", "L1")
+    assert got["src/main.py", "Job"] == ("class", "L6-15") and got["src/main.py", "Job.start"] == ("member", "L12-15") and got["lib/go.sh", "cmd_go"] == ("function", "L1-3")
     assert [r.entry for r in repo.outline("src/main.py").collect()][:2] == ["class Job [L6-15]", "  member __init__(self, name) [L9-10]"]
     assert rows(repo.definition("Job.start"), "line") == [12] == rows(repo.definition("start"), "line")
     assert [r.text for r in repo.show("check").collect()][0] == "def check(value):"
