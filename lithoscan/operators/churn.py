@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
+from .ordering import STRETCH, dense_ordinal, running_count
 
 SHADES = " ░▒▓█"
 MAX_PATHS_PER_COMMIT = 50
@@ -25,15 +26,14 @@ def parse_numstat(lines: DataFrame, order: str = "line_no", text: str = "text")
     a running count; a commit without any countable row has no index. Rows with ``-`` (binary) drop.
     """
     header = F.col(text).startswith("COMMIT\t")
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    s = lines.withColumn("session", F.sum(header.cast("long")).over(w)).filter("session > 0")
+    s = running_count(lines, header, order, "session").filter("session > 0")
     parts = F.split(text, "\t", 3)
     rows = s.select("session", F.col(order).alias("line"), header.alias("is_header"), F.regexp_replace(F.col(text), r"^COMMIT\t", "").alias("author"), parts.alias("p"))
     heads = rows.filter("is_header").select("session", "author")
     stat = rows.filter(~F.col("is_header") & (F.size("p") == 3)).select(
         "session", "line", F.expr("try_cast(p[0] AS bigint)").alias("a"), F.expr("try_cast(p[1] AS bigint)").alias("d"), F.regexp_replace(F.col("p")[2], '^"(.*)"$', "$1").alias("path")
     ).filter("a IS NOT NULL AND d IS NOT NULL")
-    live = stat.select("session").distinct().withColumn("commit_idx", F.row_number().over(Window.orderBy(F.desc("session"))) - 1).join(heads, "session")
+    live = dense_ordinal(stat.select("session").distinct(), -F.floor(F.col("session") / STRETCH), [F.desc("session")], "commit_idx").join(heads, "session")
     changes = stat.join(live, "session").select("commit_idx", "author", F.col("line").alias("pos"), "path", (F.col("a") + F.col("d")).alias("changes"))
     return live.select("commit_idx", "author"), changes
 
@@ -78,7 +78,7 @@ def author_filter(author: Column, needles: tuple[str, ...]) -> Column:
 def by_authors(commits: DataFrame, changes: DataFrame, needles: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Only these authors' commits, numbered anew."""
     kept = commits.filter(author_filter(F.col("author"), needles))
-    renumbered = kept.withColumn("new_idx", F.row_number().over(Window.orderBy("commit_idx")) - 1)
+    renumbered = dense_ordinal(kept, F.floor(F.col("commit_idx") / STRETCH), [F.col("commit_idx")], "new_idx")
     c = renumbered.select(F.col("new_idx").cast("bigint").alias("commit_idx"), "author")
     return c, changes.join(renumbered.select("commit_idx", "new_idx"), "commit_idx").withColumn("commit_idx", F.col("new_idx").cast("bigint")).drop("new_idx")
 

@@ -85,13 +85,13 @@ def with_submodules(imports: DataFrame) -> DataFrame:
 
 
 def normalise(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` segments; a path that leaves the root is null."""
+    """Resolve ``.`` and ``..`` segments; a path that leaves the root is null. Only paths with such a segment are walked."""
     walked = F.aggregate(
         F.split(path, "/"), F.array().cast("array<string>"),
         lambda acc, x: F.when(acc.isNull() | x.isin("", "."), acc).when((x == "..") & (F.size(acc) == 0), F.lit(None).cast("array<string>"))
         .when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
     )
-    return F.array_join(walked, "/")
+    return F.when(path.rlike(r"(?:^|/)(?:\.{0,2})(?:/|$)"), F.array_join(walked, "/")).otherwise(path)
 
 
 def candidates(src: Column, module: Column) -> Column:
@@ -158,10 +158,12 @@ def classified(resolved: DataFrame) -> DataFrame:
 
 
 def contains_internal(imports: DataFrame, paths: DataFrame) -> DataFrame:
-    """The looser test: internal if some path contains the module's path form (a nested-loop join)."""
+    """The looser test: internal if some path contains the module's path form. They meet by the form's first three characters."""
     form = F.when(extension(F.col("src")) == "py", F.replace("module", F.lit("."), F.lit("/"))).otherwise(F.regexp_replace("module", r"^(\./)+", ""))
-    m = imports.select("src", "module").distinct().withColumn("form", form)
-    return m.join(F.broadcast(paths.select(F.col("path").alias("p"))), F.col("p").contains(F.col("form")), "left_semi").select("src", "module")
+    m = imports.select("src", "module").distinct().withColumn("form", form).withColumn("start", F.substring("form", 1, 3))
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("path") - n + 1, F.lit(1))), lambda i: F.substring(F.col("path"), i, F.lit(n)))
+    p = paths.select(F.col("path").alias("p"), F.explode(F.array_distinct(F.concat(F.array(F.lit("")), at(1), at(2), at(3)))).alias("part"))
+    return m.join(p, (F.col("start") == F.col("part")) & F.col("p").contains(F.col("form")), "left_semi").select("src", "module")
 
 
 def module_counts(resolved: DataFrame) -> DataFrame:

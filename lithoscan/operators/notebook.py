@@ -86,15 +86,19 @@ _FRAMES = [  # regex, path, line, function: groups (0: none)
 def parse_frames(tracebacks: DataFrame, keys: list[str], col: str = "traceback") -> DataFrame:
     """(keys, frame_no, frame_path, line, function, in_cell): the first of four forms that each line has."""
     t = tracebacks.select(*keys, F.posexplode(col).alias("frame_no", "raw")).withColumn("raw", strip_ansi(F.col("raw")))
-    path = line = func = cell = F.lit(None)
-    for k, (regex, p, n, f) in reversed(list(enumerate(_FRAMES))):
-        hit = F.col("raw").rlike(regex)
+    form = F.lit(None).cast("int")
+    for k, (regex, *_) in reversed(list(enumerate(_FRAMES))):
+        form = F.when(F.col("raw").rlike(regex), k).otherwise(form)
+    # exploding an array of one keeps the optimizer from copying the tests into each column
+    t = t.withColumn("form", F.explode(F.array(form))).filter("form IS NOT NULL")
+    path = line = func = F.lit(None)
+    for k, (regex, p, n, f) in enumerate(_FRAMES):
         got = lambda g: F.regexp_extract("raw", regex, g)  # noqa: B023, E731
-        path = F.when(hit, F.concat(F.lit("Cell In["), got(p), F.lit("]")) if k > 1 else got(p)).otherwise(path)
-        line = F.when(hit, got(n).cast("int") if n else F.lit(0)).otherwise(line)
-        func = F.when(hit, got(f) if f else F.lit("")).otherwise(func)
-        cell = F.when(hit, F.lit(k > 1)).otherwise(cell)
-    return t.select(*keys, "frame_no", path.alias("frame_path"), line.alias("line"), func.alias("function"), cell.alias("in_cell")).filter("frame_path IS NOT NULL")
+        own = F.col("form") == k
+        path = F.when(own, F.concat(F.lit("Cell In["), got(p), F.lit("]")) if k > 1 else got(p)).otherwise(path)
+        line = F.when(own, got(n).cast("int") if n else F.lit(0)).otherwise(line)
+        func = F.when(own, got(f) if f else F.lit("")).otherwise(func)
+    return t.select(*keys, "frame_no", path.alias("frame_path"), line.alias("line"), func.alias("function"), (F.col("form") > 1).alias("in_cell"))
 
 
 def classify_frames(frames: DataFrame, paths: DataFrame, root: str | None = None) -> DataFrame:

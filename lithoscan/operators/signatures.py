@@ -8,9 +8,11 @@ import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+from .ordering import dense_ordinal
 from .text import extension
 from .tree import file_importance
 
@@ -164,29 +166,25 @@ def prioritised(sketches: DataFrame, loc: DataFrame, cap: int = PER_FILE) -> Dat
     return j.mapInPandas(run, "path string, loc bigint, capped array<string>, more int, symbols int, entry string")
 
 
-def allocate(costs: DataFrame, budget: int) -> DataFrame:
-    """(path, tier) for (path, rank, cost): detail by first fit, then the catalog, then omitted.
+def allocate(costs: DataFrame, budget: int, order: list[Column]) -> dict[str, str]:
+    """{path: tier} of the files (path, cost) in detail or in the catalog; all others are omitted.
 
-    Overhead takes 5 % (5 at least), detail 63 % of the rest. First fit goes in order of rank and
-    skips what doesn't fit: a fold over the ordered files, whose state is the lines used.
+    Overhead takes 5 % (5 at least), detail 63 % of the rest. First fit goes in ``order`` and
+    skips what doesn't fit. Of the files of one cost no more can fit than the budget has room for, and
+    the first ones do if any: these alone come to the driver, and as many first ones as the catalog has lines.
     """
     overhead = max(5, int(budget * 0.05))
     full = int((budget - overhead) * 0.63)
     listed = budget - overhead - full
-    ordered = costs.agg(F.array_sort(F.collect_list(F.struct("rank", "path", "cost"))).alias("items"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("listed"), F.array().cast("array<struct<path:string,tier:string>>").alias("out"))
-
-    def step(s, x):
-        fits = s["used"] + x["cost"] <= full
-        lists = ~fits & (s["listed"] < listed)
-        tier = F.when(fits, "detail").when(lists, "catalog").otherwise("omitted")
-        return F.struct(
-            (s["used"] + F.when(fits, x["cost"]).otherwise(0)).cast("bigint").alias("used"), (s["listed"] + F.when(lists, 1).otherwise(0)).cast("bigint").alias("listed"),
-            F.concat(s["out"], F.array(F.struct(x["path"].alias("path"), tier.alias("tier")))).alias("out"),
-        )
-
-    folded = ordered.select(F.aggregate("items", start, step)["out"].alias("out"))
-    return folded.select(F.inline("out"))
+    w = Window.partitionBy("cost").orderBy(*order)
+    few = costs.filter(F.col("cost") <= full).withColumn("nth", F.row_number().over(w)).filter(F.col("nth") * F.col("cost") <= full)
+    tiers, used = {}, 0
+    for r in few.orderBy(*order).select("path", "cost").collect():
+        if used + r["cost"] <= full:
+            used += r["cost"]
+            tiers[r["path"]] = "detail"
+    first = [r["path"] for r in costs.orderBy(*order).limit(listed + len(tiers)).select("path").collect()]
+    return tiers | dict.fromkeys([p for p in first if p not in tiers][:listed], "catalog")
 
 
 def budgeted(sketches: DataFrame, loc: DataFrame, budget: int = 500, churn: DataFrame | None = None) -> DataFrame:
@@ -195,8 +193,11 @@ def budgeted(sketches: DataFrame, loc: DataFrame, budget: int = 500, churn: Data
     if churn is not None:
         p = p.join(churn.select("path", "commits", "lines"), "path", "left").fillna(0, ["commits", "lines"])
     imp = file_importance(F.col("loc")) if churn is None else file_importance(F.col("loc"), F.col("commits"), F.col("lines"))
-    r = p.withColumn("importance", imp).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "path")))
     cost = F.lit(3) + F.size("capped") + F.when(F.col("more") > 0, 1).otherwise(0)
-    tiers = allocate(r.select("rank", "path", cost.cast("bigint").alias("cost")), budget)
+    r = checkpoint(p.withColumn("importance", imp).withColumn("cost", cost.cast("bigint")))
+    order = [F.desc("importance"), F.asc("path")]
+    tiers = allocate(r.select("path", "cost", "importance"), budget, order)
+    chosen = r.sparkSession.createDataFrame(sorted(tiers.items()), "path string, tier string")  # at most as many as the budget has lines
+    ranked = dense_ordinal(r, -F.floor(F.col("importance") * 1000), order, "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
     shown = F.when(F.col("tier") == "detail", F.array_join("capped", "\n")).when(F.col("tier") == "catalog", F.col("entry"))
-    return r.join(tiers, "path").select("path", "tier", "rank", "importance", shown.alias("shown"), "more")
+    return ranked.join(F.broadcast(chosen), "path", "left").withColumn("tier", F.coalesce("tier", F.lit("omitted"))).select("path", "tier", "rank", "importance", shown.alias("shown"), "more")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import last_known
+
 #: Unanchored fragments of paths that scans leave out.
 IGNORED = (
     ["__pycache__/", "node_modules/", "venv/", "env/", "dist/", "build/"]
@@ -119,15 +121,23 @@ def lines(files: DataFrame) -> DataFrame:
     return files.filter(F.length("text") > 0).select("path", F.posexplode(parts).alias("pos", "text")).select("path", (F.col("pos") + 1).alias("line_no"), "text")
 
 
-def grep(all_lines: DataFrame, pattern: str, context: int = 2, limit: int | None = 50) -> DataFrame:
-    """(path, line_no, text, is_match): matching lines and those within ``context`` of one.
+def _split(text: Column) -> Column:
+    """Lines as an array; the empty rest after a last line feed is none."""
+    return F.when(F.length(text) > 0, F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1))
+
+
+def grep(files: DataFrame, pattern: str, context: int = 2, limit: int | None = 50) -> DataFrame:
+    """(path, line_no, text, is_match) of files (path, text): matching lines and those within ``context`` of one.
 
-    ``limit`` bounds the rows to limit * (2 * context + 2), in order of path and line.
+    ``limit`` bounds the rows to limit * (2 * context + 2), in order of path and line. A file's lines
+    are an array until those to show are known, so that nothing is shuffled but what is shown.
     """
-    hit = all_lines.withColumn("is_match", F.col("text").rlike(pattern))
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(-context, context)
-    near = hit.withColumn("near", F.max(F.col("is_match").cast("int")).over(w)).filter("near = 1").drop("near") if context else hit.filter("is_match")
-    return near if limit is None else near.orderBy("path", "line_no").limit(limit * (2 * context + 2))
+    f = files.select("path", _split(F.col("text")).alias("p")).filter("p IS NOT NULL")
+    f = f.withColumn("hit", F.transform("p", lambda x: x.rlike(pattern))).filter(F.exists("hit", lambda h: h))
+    at = F.filter(F.transform("hit", lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
+    near = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - context, F.lit(0)), F.least(i + context, F.size("p") - 1)))))
+    rows = f.select("path", F.explode(near).alias("i"), "p", "hit").select("path", (F.col("i") + 1).alias("line_no"), F.col("p")[F.col("i")].alias("text"), F.col("hit")[F.col("i")].alias("is_match"))
+    return rows if limit is None else rows.orderBy("path", "line_no").limit(limit * (2 * context + 2))
 
 
 def match_counts(found: DataFrame) -> DataFrame:
@@ -172,9 +182,8 @@ def language(path: Column) -> Column:
 def diff_stat(diff_lines: DataFrame, order: str = "line_no") -> DataFrame:
     """One row: files, added, removed. Hunks tell headers from added lines that begin with ``++``."""
     t = F.col("text")
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    state = F.last(F.when(t.startswith("diff --git "), F.lit(False)).when(t.startswith("@@"), F.lit(True)), ignorenulls=True).over(w)
-    s = diff_lines.withColumn("in_hunk", F.coalesce(state, F.lit(False)))
+    state = F.when(t.startswith("diff --git "), F.lit(False)).when(t.startswith("@@"), F.lit(True))
+    s = last_known(diff_lines, state, order, "in_hunk").withColumn("in_hunk", F.coalesce("in_hunk", F.lit(False)))
     target = F.when(~F.col("in_hunk") & t.startswith("+++ "), F.regexp_replace(F.substring(t, 5, 1 << 20), r"^b/", ""))
     origin = F.when(~F.col("in_hunk") & t.startswith("--- "), F.regexp_replace(F.substring(t, 5, 1 << 20), r"^a/", ""))
     named = s.withColumn("file", F.when(target != "/dev/null", target).otherwise(F.when(origin != "/dev/null", origin)))
@@ -183,14 +192,14 @@ def diff_stat(diff_lines: DataFrame, order: str = "line_no") -> DataFrame:
     )
 
 
-def readme_summary(all_lines: DataFrame, limit: int = 5) -> DataFrame:
-    """(path, summary): the first paragraph after the first line, without headings, of up to ``limit`` lines."""
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    body = all_lines.filter(F.col("line_no") > 1).withColumn("full", (F.trim("text") != "") & ~F.col("text").startswith("#"))
-    body = body.withColumn("seen", F.sum(F.col("full").cast("int")).over(w))
-    body = body.withColumn("gaps", F.sum((~F.col("full") & (F.col("seen") > 0)).cast("int")).over(w))
-    kept = body.filter(F.col("full") & (F.col("gaps") == 0) & (F.col("seen") <= limit))
-    return kept.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("summary"))
+def readme_summary(files: DataFrame, limit: int = 5) -> DataFrame:
+    """(path, summary) of files (path, text): the first paragraph after the first line, without headings, of up to ``limit`` lines. No shuffle."""
+    f = files.select("path", _split(F.col("text")).alias("p")).filter(F.size("p") > 1).withColumn("p", F.slice("p", 2, F.size("p")))
+    full = F.transform("p", lambda x: (F.trim(x) != "") & ~x.startswith("#"))
+    f = f.withColumn("full", full).withColumn("at", F.array_position("full", F.lit(True)).cast("int")).filter(F.col("at") > 0)
+    f = f.withColumn("gap", F.array_position(F.slice("full", F.col("at"), F.size("full")), F.lit(False)).cast("int"))
+    n = F.least(F.when(F.col("gap") > 0, F.col("gap") - 1).otherwise(F.size("p")), F.lit(limit))
+    return f.select("path", F.array_join(F.slice("p", F.col("at"), n), "\n").alias("summary"))
 
 
 def strip_ansi(c: Column) -> Column:

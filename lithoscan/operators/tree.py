@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .imports import ancestors
 from .text import extension
 
-#: Directories above which the budgeted tree is refused: its greedy choice runs on the driver.
-DIRECTORY_LIMIT = 200_000
-
 
 def log2_of(c: Column, per: float = 1.0) -> Column:
     return F.log2(F.lit(1.0) + c / F.lit(per))
@@ -78,53 +73,36 @@ def expand_budgeted(files: DataFrame, budget: int, churn: DataFrame | None = Non
 
     State is file, expanded, partial (with ``hidden`` children left out) or collapsed. The root's
     children show; then, while lines remain, the most important collapsed directory is expanded,
-    and the first that doesn't fit shows its best children and one line for the others. The greedy
-    choice is sequential: it runs on the driver over directories, not files.
+    and the first that doesn't fit shows its best children and one line for the others.
+
+    A directory is at least as important as those in it, so that the greedy choice is the order of
+    importance and path itself: directories are sorted by it, and the driver reads them one by one until one doesn't fit.
     """
     spark = files.sparkSession
     stats = directory_stats(files, churn)
-    if stats.count() > DIRECTORY_LIMIT:
-        raise ValueError(f"more than {DIRECTORY_LIMIT} directories")
-    importance = {r["dir"]: (r["importance"], r["direct_children"]) for r in stats.select("dir", "importance", "direct_children").toLocalIterator()}
     n = nodes(files)
-    top = n.filter("parent = ''").select("path", "is_dir").collect()
-    state: dict[str, tuple[str, int]] = {r["path"]: ("collapsed" if r["is_dir"] else "file", 0) for r in top}
-    queue = [(-importance[r["path"]][0], r["path"]) for r in top if r["is_dir"]]
-    heapq.heapify(queue)
-    used = len(top)
-    below: dict[str, list[str]] = {}
-    for d in importance:
-        below.setdefault(d.rsplit("/", 1)[0] if "/" in d else "", []).append(d)
+    used = n.filter("parent = ''").count()
     opened, partial = [], None
-    while queue and used < budget:
-        _, d = heapq.heappop(queue)
-        count = importance[d][1]
-        if used + count - 1 <= budget:
-            opened.append(d)
-            used += count - 1
-            for c in below.get(d, ()):
-                heapq.heappush(queue, (-importance[c][0], c))
+    ordered = stats.select("dir", "importance", "direct_children").orderBy(F.desc("importance"), "dir")
+    for r in ordered.toLocalIterator() if used < budget else ():
+        if used + r["direct_children"] - 1 <= budget:
+            opened.append(r["dir"])
+            used += r["direct_children"] - 1
+            if used >= budget:
+                break
             continue
-        slots = budget - used + 1
-        if slots >= 2:
-            partial = (d, slots - 1)
+        if budget - used + 1 >= 2:
+            partial = (r["dir"], budget - used, r["direct_children"] - (budget - used))
         break
-    for d in opened:
-        state[d] = ("expanded", 0)
-        for c in below.get(d, ()):
-            state.setdefault(c, ("collapsed", 0))
+    own = spark.createDataFrame([(d, "expanded", 0) for d in opened] + ([(partial[0], "partial", partial[2])] if partial else []), "path string, own string, hidden int")
+    seen = spark.createDataFrame([("",), *((d,) for d in opened)], "parent string")
+    inside = n.join(seen, "parent", "left_semi").select("path", "is_dir")
+    out = inside.join(own, "path", "left").select("path", F.coalesce("own", F.when(F.col("is_dir"), "collapsed").otherwise("file")).alias("state"), F.coalesce("hidden", F.lit(0)).alias("hidden"))
     if partial:
-        state[partial[0]] = ("partial", importance[partial[0]][1] - partial[1])
-    shown = spark.createDataFrame([(k, s, h) for k, (s, h) in sorted(state.items())], "path string, state string, hidden int")
-    inside = spark.createDataFrame([(d,) for d in opened], "parent string")
-    leaves = n.filter("NOT is_dir").join(inside, "parent", "left_semi").select("path", F.lit("file").alias("state"), F.lit(0).alias("hidden"))
-    out = shown.unionByName(leaves)
-    if partial:
-        d, k = partial
         rank = stats.select(F.col("dir").alias("path"), "importance")
-        best = n.filter(F.col("parent") == d).join(rank, "path", "left").withColumn("v", F.coalesce("importance", F.col("loc") / 1000.0, F.lit(0.0))).orderBy(F.desc("v"), "path").limit(k)
+        best = n.filter(F.col("parent") == partial[0]).join(rank, "path", "left").withColumn("v", F.coalesce("importance", F.col("loc") / 1000.0, F.lit(0.0))).orderBy(F.desc("v"), "path").limit(partial[1])
         out = out.unionByName(best.select("path", F.when(F.col("is_dir"), "collapsed").otherwise("file").alias("state"), F.lit(0).alias("hidden")))
-    return out.dropDuplicates(["path"])
+    return out
 
 
 def top_directory_summary(files: DataFrame, tags: DataFrame | None = None, readme: DataFrame | None = None) -> DataFrame:

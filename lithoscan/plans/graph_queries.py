@@ -27,8 +27,8 @@ def modules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    m = modules(spark, d)
-    return imports.resolve(imports.with_submodules(imports.python_imports(m)), m.select("path"))
+    m = checkpoint(modules(spark, d))
+    return imports.resolve(checkpoint(imports.with_submodules(imports.python_imports(m))), m.select("path"))
 
 
 def deps_classified(spark: SparkSession, d: str) -> DataFrame:
@@ -50,14 +50,14 @@ def module_import_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def related(spark: SparkSession, d: str) -> DataFrame:
-    m = modules(spark, d)
+    m = checkpoint(modules(spark, d))
     path = m.filter(F.col("path").endswith("/p7.py")).first()["path"]
     return imports.related(m, imports.resolve(imports.with_submodules(imports.python_imports(m)), m.select("path")), path)
 
 
 def import_degrees(spark: SparkSession, d: str) -> DataFrame:
-    m = modules(spark, d)
-    e = imports.edges(imports.resolve(imports.with_submodules(imports.python_imports(m)), m.select("path")))
+    m = checkpoint(modules(spark, d))
+    e = imports.edges(imports.resolve(checkpoint(imports.with_submodules(imports.python_imports(m))), m.select("path")))
     return graph.degrees(e, m.select(F.col("path").alias("node")))
 
 

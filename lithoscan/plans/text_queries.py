@@ -33,15 +33,15 @@ def text_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grep(spark: SparkSession, d: str) -> DataFrame:
-    return text.grep(text.lines(files(spark, d)), GREP, context=0)
+    return text.grep(files(spark, d), GREP, context=0)
 
 
 def grep_context(spark: SparkSession, d: str) -> DataFrame:
-    return text.grep(text.lines(files(spark, d)), GREP, context=2, limit=None)
+    return text.grep(files(spark, d), GREP, context=2, limit=None)
 
 
 def grep_counts(spark: SparkSession, d: str) -> DataFrame:
-    return text.match_counts(text.grep(text.lines(files(spark, d)), GREP, context=2, limit=None))
+    return text.match_counts(text.grep(files(spark, d), GREP, context=2, limit=None))
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +57,7 @@ def slice_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 def readme_summary(spark: SparkSession, d: str) -> DataFrame:
-    return text.readme_summary(text.lines(files(spark, d)))
+    return text.readme_summary(files(spark, d))
 
 
 def ignore_filter(spark: SparkSession, d: str) -> DataFrame:

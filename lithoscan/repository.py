@@ -86,7 +86,7 @@ class Repository:
         return imports.classified(kept).select("class", "module").orderBy(F.desc("class"), "module")
 
     def grep(self, pattern: str, scope: str | None = None, context: int | None = None, limit: int | None = None) -> DataFrame:
-        found = self.lines if scope is None else self.lines.filter(F.col("path").startswith(git.inside(self.root, scope)))
+        found = self.files if scope is None else self.files.filter(F.col("path").startswith(git.inside(self.root, scope)))
         return text.grep(found, pattern, self.config.grep_context if context is None else context, limit or self.config.grep_max)
 
     def show(self, *names: str) -> DataFrame:
@@ -200,13 +200,13 @@ class Repository:
         depth = tree_depth or c.primer_tree_depth
         ins = self.insights()
         summary = checkpoint(self.churn_summary())
-        out: dict[str, object] = {"prompt": prompt(task), "readme": text.readme_summary(self.lines.filter(F.lower("path").rlike(r"^readme(\.md)?$"))), "entrypoints": ins["entrypoints"], "dispatch": ins["dispatch"], "boundaries": ins["boundaries"]}
+        out: dict[str, object] = {"prompt": prompt(task), "readme": text.readme_summary(self.files.filter(F.lower("path").rlike(r"^readme(\.md)?$"))), "entrypoints": ins["entrypoints"], "dispatch": ins["dispatch"], "boundaries": ins["boundaries"]}
         if rank:
             out |= {f"churn_{k}": v for k, v in self.churn().items()}
         shown = tree.expand_budgeted(self.files.select("path", "loc"), c.primer_tree_budget, summary)  # of all files; depth only cuts what is shown
         out["tree"] = shown.filter(F.size(F.split("path", "/")) <= depth)
         if rank:
-            out |= {"critical": ins["critical"], "tests": ins["tests"], "commands": ins["commands"], "symbols": self.symbols(), "modules": tree.top_directory_summary(self.files, self.tags, text.readme_summary(self.lines))}
+            out |= {"critical": ins["critical"], "tests": ins["tests"], "commands": ins["commands"], "symbols": self.symbols(), "modules": tree.top_directory_summary(self.files, self.tags, text.readme_summary(self.files))}
         if rank == 2:
             out["signatures"] = self.signatures(budget=max_symbols or c.primer_max_symbols, summary=summary)
             out |= {f"wiring_{k}": v for k, v in self.wiring().items()}

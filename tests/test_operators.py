@@ -139,7 +139,7 @@ def test_block_choice_and_first_fit(spark):
     assert kept[:2] == ["@deco", "class Big:  # L50-150"] and len(kept) <= 20
     assert signatures.count_symbols(small + big) == 19
     costs = spark.createDataFrame([(1, "a", 5), (2, "b", 9), (3, "c", 3)], "rank int, path string, cost long")
-    assert {r.path: r.tier for r in signatures.allocate(costs, 20).collect()} == {"a": "detail", "b": "catalog", "c": "detail"}
+    assert signatures.allocate(costs, 20, [F.asc("rank")]) == {"a": "detail", "b": "catalog", "c": "detail"}
     assert signatures.catalog_entry("p.py", big, 9).startswith("- `p.py`: Big (L50), m0 (L60)") and "+4 more" in signatures.catalog_entry("p.py", big, 9)
 
 
@@ -186,3 +186,94 @@ def test_words_that_share_a_separator_count_each(spark):
     assert insights.test_counts(df).first().asserts == 2
     assert {tuple(r) for r in insights.mentions(df).collect()} == {("src/a.py", 1), ("lib/b.sh", 1)}
     assert {tuple(r) for r in insights.command_hits(df, "tool").collect()} == {("run", 1), ("stop", 1)}
+
+
+def test_budgeted_choice_against_first_fit_by_hand(spark):
+    rng = random.Random(4)
+    for budget in (12, 30, 80, 300):
+        rows = [(k, f"f{k:03}", rng.choice([3, 4, 5, 9, 17, 24, 400])) for k in range(200)]
+        want, used, listed = {}, 0, 0
+        overhead = max(5, int(budget * 0.05))
+        full = int((budget - overhead) * 0.63)
+        for _, path, cost in rows:
+            if used + cost <= full:
+                want[path], used = "detail", used + cost
+            elif listed < budget - overhead - full:
+                want[path], listed = "catalog", listed + 1
+        assert signatures.allocate(spark.createDataFrame(rows, "rank int, path string, cost long"), budget, [F.asc("rank")]) == want
+
+
+def greedy_tree(files, budget):
+    """{path: (state, hidden)} by a queue of collapsed directories, the most important first."""
+    import heapq
+    import math
+
+    below, stats = {}, {}
+    for path, loc in files:
+        parts = path.split("/")
+        for k in range(len(parts)):
+            parent = "/".join(parts[:k])
+            below.setdefault(parent, set()).add("/".join(parts[: k + 1]))
+            n, total = stats.get(parent, (0, 0))
+            stats[parent] = (n + 1, total + loc)
+    locs = dict(files)
+    weight = {d: 0.5 * (math.log2(1 + n) + math.log2(1 + total / 100)) for d, (n, total) in stats.items()}
+    state = {p: "collapsed" if p in below else "file" for p in below.get("", ())}
+    queue = [(-weight[p], p) for p, s in state.items() if s == "collapsed"]
+    heapq.heapify(queue)
+    used, hidden = len(state), {}
+    while queue and used < budget:
+        _, d = heapq.heappop(queue)
+        inside = below[d]
+        if used + len(inside) - 1 <= budget:
+            state[d], used = "expanded", used + len(inside) - 1
+            show = inside
+        else:
+            if budget - used < 1:
+                break
+            state[d], hidden[d] = "partial", len(inside) - (budget - used)
+            show = sorted(inside, key=lambda p: (-(weight[p] if p in below else locs[p] / 1000), p))[: budget - used]
+        for p in show:
+            state[p] = "collapsed" if p in below else "file"
+            if p in below and state[d] == "expanded":
+                heapq.heappush(queue, (-weight[p], p))
+        if state[d] == "partial":
+            break
+    return {p: (s, hidden.get(p, 0)) for p, s in state.items()}
+
+
+@pytest.mark.parametrize("budget", [3, 9, 14, 40])
+def test_budgeted_tree_against_a_queue(spark, budget):
+    rng = random.Random(budget)
+    files = sorted({"/".join(rng.choice("abcd") for _ in range(rng.randint(1, 5))) + f".{k % 40}": rng.randint(1, 900) for k in range(60)}.items())
+    got = {r.path: (r.state, r.hidden) for r in tree.expand_budgeted(spark.createDataFrame(files, "path string, loc long"), budget).collect()}
+    assert got == greedy_tree(files, budget)
+
+
+def test_running_counts_and_states_over_stretches(spark, monkeypatch):
+    from lithoscan.operators import ordering
+
+    monkeypatch.setattr(ordering, "STRETCH", 7)
+    rng = random.Random(2)
+    rows = [(k * 3, rng.random() < 0.2, rng.choice([None, None, None, "a", "b"])) for k in range(100)]
+    df = spark.createDataFrame(rows, "o long, f boolean, v string").repartition(5)
+    n, last, want = 0, None, {}
+    for o, f, v in rows:
+        n, last = n + f, v or last
+        want[o] = (n, last)
+    a = {r.o: r.n for r in ordering.running_count(df, F.col("f"), "o", "n").collect()}
+    b = {r.o: r.s for r in ordering.last_known(df, F.col("v"), "o", "s").collect()}
+    assert {o: (a[o], b[o]) for o in want} == want
+
+
+def test_modules_in_paths(spark):
+    mods = spark.createDataFrame([("x.py", "a.b"), ("x.py", "zz"), ("x.js", "./lib"), ("x.c", "io"), ("x.rb", "")], "src string, module string")
+    got = imports.contains_internal(mods, spark.createDataFrame([("src/a/b.py",), ("lib/u.js",), ("io.h",)], "path string")).collect()
+    assert {tuple(r) for r in got} == {("x.py", "a.b"), ("x.js", "./lib"), ("x.c", "io"), ("x.rb", "")}
+
+
+def test_search_context_at_the_edges(spark):
+    files = spark.createDataFrame([("a", "x\nhit\n"), ("b", "1\n2\n3\nhit\n5\nhit\n7\n8\n9"), ("c", ""), ("d", None), ("e", "no\n\n")], "path string, text string")
+    got = {(r.path, r.line_no, r.is_match) for r in text.grep(files, "hit", context=1, limit=None).collect()}
+    assert got == {("a", 1, False), ("a", 2, True), ("b", 3, False), ("b", 4, True), ("b", 5, False), ("b", 6, True), ("b", 7, False)}
+    assert [(r.path, r.line_no) for r in text.grep(files, "hit", context=0, limit=1).collect()] == [("a", 2), ("b", 4)]
