@@ -141,9 +141,15 @@ _T = "tr AS (SELECT lower(p_type) || '/' || p_brand || '/' || p_name || ' ' || p
 _C = "ch AS (SELECT path, count(*) AS commits, CAST(sum(l_quantity) AS BIGINT) AS lines FROM lineitem JOIN tr ON l_partkey = p_partkey GROUP BY path)"
 _UP = "up AS (SELECT d1 AS dir, path, loc, d2 AS child FROM tr UNION ALL SELECT d2, path, loc, path FROM tr)"
 _CELLS = "c AS (SELECT 'nb/' || conv_id || '.ipynb' AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, turn, conv_id, text, CASE role WHEN 'user' THEN 'code' WHEN 'assistant' THEN 'markdown' ELSE 'raw' END AS cell_type FROM conversations)"
-_FR = """fr AS (SELECT o_orderkey, unnest([0, 1, 2, 3, 5]) AS frame_no, unnest(['src/p' || o_custkey || '.py', '/repo/src/p' || o_custkey || '.py', 'Cell In[' || o_custkey || ']', 'Cell In[' || o_custkey || ']', '/usr/lib/x.py']) AS frame_path,
- unnest([o_orderkey, 12, 4, 0, 7]) AS line, unnest(['run', 'go', '', '<module>', '']) AS function, unnest([false, false, true, true, false]) AS in_cell, o_custkey FROM orders)"""
-_CLS = _FR + """, cl AS (SELECT o_orderkey, frame_no, CASE WHEN in_cell THEN 'notebook' WHEN frame_no < 2 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'repo' ELSE 'external' END AS type, frame_path FROM fr)"""
+_FR = r"""raw AS (SELECT o_orderkey, o_custkey, unnest([0, 1, 2, 3, 4, 5]) AS frame_no, unnest(['  File "src/p' || o_custkey || '.py", line ' || o_orderkey || ', in run', 'File /repo/src/p' || o_custkey || '.py:12, in go(x)', 'Cell In[' || o_custkey || '], line 4',
+ 'Input In [' || o_custkey || '], in <module>', 'ValueError: no frame', chr(27) || '[1mFile ' || chr(27) || '[0;32m/usr/lib/x.py:7']) AS l FROM orders),
+bare AS (SELECT *, regexp_replace(l, '\x1b\[[0-9;]*m', '', 'g') AS t FROM raw),
+form AS (SELECT *, CASE WHEN regexp_matches(t, 'File "[^"]+", line [0-9]+') THEN 1 WHEN regexp_matches(t, 'File [^ \t:]+:[0-9]+') THEN 2 WHEN regexp_matches(t, '(?:Cell |Input )[ \t]*In[ \t]*\[?[ \t]*[0-9]+\]?,?[ \t]*in[ \t]+[^ \t]') THEN 3 WHEN regexp_matches(t, '(?:Cell |Input )[ \t]*In[ \t]*\[?[ \t]*[0-9]+\]?,?[ \t]*line[ \t]*[0-9]') THEN 4 END AS k FROM bare),
+fr AS (SELECT o_orderkey, o_custkey, frame_no, CASE k WHEN 1 THEN split_part(t, '"', 2) WHEN 2 THEN regexp_extract(t, 'File ([^ \t:]+):', 1) ELSE 'Cell In[' || regexp_extract(t, 'In[ \t]*\[?[ \t]*([0-9]+)', 1) || ']' END AS frame_path,
+ CAST(CASE k WHEN 1 THEN regexp_extract(t, 'line ([0-9]+)', 1) WHEN 2 THEN regexp_extract(t, ':([0-9]+)', 1) WHEN 3 THEN '0' ELSE regexp_extract(t, 'line[ \t]*([0-9]+)', 1) END AS INTEGER) AS line,
+ CASE k WHEN 1 THEN regexp_extract(t, ', in (.+)$', 1) WHEN 2 THEN regexp_extract(t, ',[ \t]*in[ \t]+([^ \t(]+)', 1) WHEN 3 THEN regexp_extract(t, 'in[ \t]+([^ \t]+)$', 1) ELSE '' END AS function, k > 2 AS in_cell FROM form WHERE k IS NOT NULL)"""
+_CLS = _FR + """, rel AS (SELECT *, CASE WHEN starts_with(frame_path, '/repo/') THEN substr(frame_path, 7) ELSE frame_path END AS rel FROM fr), tracked AS (SELECT 'src/p' || c_custkey || '.py' AS path FROM customer WHERE c_acctbal > 0),
+cl AS (SELECT o_orderkey, frame_no, CASE WHEN in_cell THEN 'notebook' WHEN tracked.path IS NOT NULL THEN 'repo' ELSE 'external' END AS type, CASE WHEN NOT in_cell AND tracked.path IS NOT NULL THEN rel ELSE frame_path END AS frame_path FROM rel LEFT JOIN tracked ON tracked.path = rel)"""
 
 ORACLE_SQL = {
     "dir_rollup": f"WITH {_T}, {_UP} SELECT dir, count(*) AS file_count, CAST(sum(loc) AS BIGINT) AS total_loc, count(DISTINCT child) AS direct_children, round(0.5 * (log2(1 + count(*)) + log2(1 + sum(loc) / 100)), 6) AS importance FROM up GROUP BY dir",
@@ -168,7 +174,7 @@ UNION ALL SELECT path, pos, 1, 'rich', '[image/png output]', '' FROM t
 UNION ALL SELECT path, pos, 2, 'error', '→ **ValueError**: bad ' || turn || ' (7 frames, showing last 5)', array_to_string([x FOR x IN list_transform([3, 4, 5, 6, 7], lambda i: '  File "src/m' || i || '.py", line ' || (conv_id % 50 + i) || ', in f')], chr(10)) FROM t WHERE turn % 3 = 0""",
     "notebook_errors": f"WITH {_CELLS} SELECT path, pos, 'ValueError' AS ename, 'bad ' || turn AS evalue, 7 AS frames FROM c WHERE cell_type = 'code' AND turn % 3 = 0",
     "traceback_frames": f"WITH {_FR} SELECT o_orderkey, frame_no, frame_path, line, function, in_cell FROM fr",
-    "frame_classify": f"WITH {_CLS} SELECT o_orderkey, frame_no, type, CASE WHEN type = 'repo' THEN replace(frame_path, '/repo/', '') ELSE frame_path END AS frame_path FROM cl",
+    "frame_classify": f"WITH {_CLS} SELECT o_orderkey, frame_no, type, frame_path FROM cl",
     "notebook_debug_summary": f"WITH {_CLS} SELECT o_orderkey, count(*) AS frames, count(*) FILTER (WHERE type = 'notebook') AS notebook, count(*) FILTER (WHERE type = 'repo') AS repo, count(*) FILTER (WHERE type = 'external') AS external FROM cl GROUP BY o_orderkey",
     "signatures_python": r"""SELECT 'm/p' || p_partkey || '.py' AS path, '# Part ' || p_partkey || '.' || chr(10) || chr(10) || 'class ' || regexp_replace(p_type, '[^A-Za-z]', '', 'g') || ':  # L3-5' || chr(10) || '    def size(self):  # L4-5' || chr(10) || '        return ' || p_size || chr(10) || chr(10) || chr(10)
  || 'def f' || p_partkey || '(a, b=1):  # L7-8' || chr(10) || '    ...' || chr(10) AS sig FROM part""",
