@@ -65,6 +65,13 @@ def python_imports(files: DataFrame) -> DataFrame:
     return files.filter(extension(F.col("path")) == "py").select("path", "text").mapInPandas(run, "src string, module string, level int, names array<string>")
 
 
+def shell_sources(all_lines: DataFrame) -> DataFrame:
+    """(path, imports): the files that each shell file sources, by name, with commas between."""
+    line = r"""(?:^|\s)(?:\.|source)\s+['"]*([a-zA-Z0-9_./-]+)"""
+    found = all_lines.filter(extension(F.col("path")).isin("bash", "sh")).select("path", F.explode(F.regexp_extract_all("text", F.lit(line), F.lit(1))).alias("file"))
+    return found.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("file")), ",").alias("imports"))
+
+
 def package_of(path: Column) -> Column:
     """The dotted package of a Python file."""
     return F.regexp_replace(dirname(path), "/", ".")

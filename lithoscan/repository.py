@@ -171,7 +171,7 @@ class Repository:
         counts = imports.module_counts(self.imports.filter(F.col("src").endswith(".py"))).orderBy(F.desc("importers"), "module")
         return {
             "topology": graph.topology(e, layered), "key_files": graph.key_nodes(deg, graph.betweenness(e, nodes), layered), "layers": graph.layer_map(deg, layered),
-            "links": graph.key_links(graph.link_scores(e, deg, layered)), "modules": counts.limit(self.config.primer_modules),
+            "links": graph.key_links(graph.link_scores(e, deg, layered)), "modules": counts.limit(self.config.primer_modules), "shell": imports.shell_sources(self.lines),
         }
 
     def insights(self) -> dict[str, DataFrame]:
@@ -184,11 +184,13 @@ class Repository:
         fan = imports.edges(self.imports).groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("n"))
         program = self.root.rstrip("/").rsplit("/", 1)[-1]
         hits = insights.command_hits(scanned, program)
-        critical = checkpoint(insights.critical_scores(self.tracked.select("path", "loc"), entry, targets, fan, insights.touched_paths(insights.mentions(scanned), hits, dispatch), insights.symbol_counts(scanned)))
+        tests = self.tracked.filter(insights.is_test(F.col("path"))).select("path", "text")
+        symbols_in = insights.symbol_counts(insights.merge(scanned.select("path", "text"), tests))
+        critical = checkpoint(insights.critical_scores(self.tracked.select("path", "loc"), entry, targets, fan, insights.touched_paths(insights.mentions(scanned), hits, dispatch), symbols_in))
         commits, changes = map(checkpoint, self.log())
         steady = churn.presence_continuity(commits, changes.join(self.tracked.select("path"), "path", "left_semi"))
         return {
-            "entrypoints": insights.rerank(entry, critical, steady), "dispatch": dispatch, "critical": critical, "tests": insights.test_counts(scanned), "commands": hits,
+            "entrypoints": insights.rerank(entry, critical, steady), "dispatch": dispatch, "critical": critical, "tests": insights.test_counts(tests), "commands": hits,
             "boundaries": insights.boundaries(lines), "risks": insights.risks(lines),
         }
 
