@@ -116,7 +116,7 @@ class LocalSearch:
         return (int(rows[at[k], 1]), [int(x) for x in rows[at[k], 2:] if x]) if grown[k] > 0 else None
 
     def move(self, size: int, source: int) -> int | None:
-        fits = (self.fill + size <= self.capacity) & (self.fill > 0) & (self.fill >= self.fill[source] - size)
+        fits = (self.fill + size <= self.capacity) & (self.fill > 0) & (self.fill > self.fill[source] - size)  # else squared fill doesn't grow
         fits[source] = False
         return int(np.argmax(np.where(fits, self.fill, -1))) if fits.any() else None
 
