@@ -175,6 +175,9 @@ s("at", symbol, lo, hi) AS (VALUES (5, 'body', 4, 6), (9, NULL, 7, 11)) SELECT p
 SELECT path, CAST(-1 AS BIGINT) AS n FROM t WHERE path LIKE '%7' UNION ALL SELECT path, n FROM e JOIN t USING (path) WHERE path NOT LIKE '%7'""",
     "module_ranking": f"WITH {_ROOTED} SELECT module, count(DISTINCT src) AS importers FROM res WHERE is_internal GROUP BY module ORDER BY importers DESC, module LIMIT 20",
     "python_calls": "SELECT 'f' || p_partkey AS symbol, unnest(['a' || p_size % 9, 'b', 'c' || p_partkey % 4]) AS callee FROM part",
+    "catalog_lines": """WITH p AS (SELECT p_partkey AS k, p_size % 9 + 1 AS n, p_size FROM part), f AS (SELECT *, list_transform(range(1, n + 1), lambda i: 's' || i || ' (L' || (3 * i - 2) || ')') || ['Big' || k || ' (L' || (3 * n + 1) || ')'] AS found FROM p)
+SELECT 'm/p' || k || '.py' AS path, 'class Big' || k || ':  # L' || (3 * n + 1) || '-' || (3 * n + 4) || '||def s1():  # L1-2|    ...' AS capped, CAST(n - 1 AS INTEGER) AS more, CAST(n + 1 AS INTEGER) AS symbols,
+ '- `m/p' || k || '.py`: ' || array_to_string(found[1:5], ', ') || CASE WHEN n + 1 > 5 THEN ' +' || (n - 4) || ' more' ELSE '' END || ' — ' || p_size || 'L' AS entry FROM f""",
     "symbols_by_language": """WITH p AS (SELECT p_partkey AS k, p_partkey % 3 AS e, 'f' || p_partkey || '.' || (['go', 'rs', 'java'])[p_partkey % 3 + 1] AS path FROM part)
 SELECT path, 'T' || k AS name, CASE e WHEN 2 THEN 'class' ELSE 'struct' END AS kind, 1 AS line, CASE e WHEN 2 THEN 8 ELSE 3 END AS "end", NULL AS scope FROM p
 UNION ALL SELECT path, 'M' || k, 'method', CASE e WHEN 1 THEN 6 ELSE 5 END, CASE e WHEN 1 THEN 6 ELSE 7 END, 'T' || k FROM p""",
