@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -83,6 +84,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return freed memory to the system where the C library can: a worker lives on between stages, and would keep it."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -173,6 +181,7 @@ def text_batches(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int,
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
     del data
     pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
