@@ -3,7 +3,18 @@
 import itertools
 import random
 
-from lithoscan.operators import imports
+from lithoscan.operators import graph, imports
+
+
+def counted(df, log):
+    """``df``, of which each evaluation of a part adds a letter to the file ``log``."""
+
+    def run(batches):
+        with open(log, "a") as f:
+            f.write("x")
+        yield from batches
+
+    return df.coalesce(1).mapInArrow(run, df.schema)
 
 
 def rows(df):
@@ -44,3 +55,9 @@ def test_python_resolution_by_stems_is_that_of_candidates(spark):
         mine = imports.resolve_python(asked, known, roots)
         assert rows(mine) == rows(imports.resolve(asked, known, distinct).select("src", "module", "k", "dst", "is_internal"))
     assert {x.is_internal for x in mine.collect()} == {True, False}
+
+
+def test_betweenness_reads_its_edges_once(spark, tmp_path):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
+    assert {r.node: r.betweenness for r in graph.betweenness(counted(e, tmp_path / "log")).collect()} == {"a": 1.0, "b": 2.0, "c": 3.0, "d": 0.0}
+    assert (tmp_path / "log").read_text() == "x"
