@@ -11,6 +11,7 @@ import fnmatch
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .graph import connected_components
 from .ordering import STRETCH, dense_ordinal, running_count
 
@@ -182,11 +183,12 @@ def cochange_pairs(changes: DataFrame, min_coupling: float = 0.3, max_paths: int
     Commits of more than ``max_paths`` paths don't count for pairs, though they do for each path's
     own commits; without this guard the pairs of one commit grow with its square.
     """
-    touched = changes.select("commit_idx", "path").distinct()
-    size = touched.groupBy("commit_idx").agg(F.count("*").alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= max_paths))
-    basket = touched.join(size.select("commit_idx"), "commit_idx", "left_semi")
-    x, y = basket.select("commit_idx", F.col("path").alias("a")), basket.select("commit_idx", F.col("path").alias("b"))
-    pairs = x.join(y, "commit_idx").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("co_commits")).filter(F.col("co_commits") >= min_commits)
+    # all by one shuffle; the paths of a commit come together only if they are few
+    touched = changes.select("commit_idx", "path").filter("commit_idx IS NOT NULL").repartition("commit_idx").distinct()
+    sized = touched.withColumn("n", F.count("*").over(Window.partitionBy("commit_idx"))).filter((F.col("n") >= 2) & (F.col("n") <= max_paths))
+    basket = sized.groupBy("commit_idx").agg(F.array_sort(F.collect_list("path")).alias("p"))
+    firsts = basket.select("p", F.posexplode("p").alias("i", "a"))
+    pairs = firsts.select("a", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("co_commits")).filter(F.col("co_commits") >= min_commits)
     n = changes.groupBy("path").agg(F.count("*").alias("n"))
     j = pairs.join(n.select(F.col("path").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("path").alias("b"), F.col("n").alias("nb")), "b")
     return j.withColumn("coupling", F.col("co_commits") / (F.col("na") + F.col("nb") - F.col("co_commits"))).filter(F.col("coupling") >= min_coupling).select("a", "b", "co_commits", "coupling")
@@ -194,6 +196,7 @@ def cochange_pairs(changes: DataFrame, min_coupling: float = 0.3, max_paths: int
 
 def cochange_clusters(pairs: DataFrame) -> DataFrame:
     """(root, path, size, avg_coupling): connected components of the coupled pairs."""
+    pairs = checkpoint(pairs)  # both uses are of one
     comp = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     avg = pairs.join(comp, pairs["a"] == comp["node"]).groupBy("root").agg(F.avg("coupling").alias("avg_coupling"), F.count("*").alias("n_edges"))
     size = comp.groupBy("root").agg(F.count("*").alias("size"))

@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from lithoscan.operators import graph, imports
+from lithoscan.operators import churn, graph, imports
 
 
 def counted(df, log):
@@ -61,3 +61,25 @@ def test_betweenness_reads_its_edges_once(spark, tmp_path):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     assert {r.node: r.betweenness for r in graph.betweenness(counted(e, tmp_path / "log")).collect()} == {"a": 1.0, "b": 2.0, "c": 3.0, "d": 0.0}
     assert (tmp_path / "log").read_text() == "x"
+
+
+def test_clusters_read_their_pairs_once(spark, tmp_path):
+    p = spark.createDataFrame([("a", "b", 2, 0.5), ("b", "c", 2, 1.0), ("x", "y", 3, 0.4)], "a string, b string, co_commits int, coupling double")
+    got = rows(churn.cochange_clusters(counted(p, tmp_path / "log")))
+    assert got == [("a", "a", 3, 0.75, 2), ("a", "b", 3, 0.75, 2), ("a", "c", 3, 0.75, 2), ("x", "x", 2, 0.4, 1), ("x", "y", 2, 0.4, 1)]
+    assert (tmp_path / "log").read_text() == "x"
+
+
+def test_pairs_of_commits_of_every_size(spark):
+    r = random.Random(3)
+    sets = {k: {r.choice("abcdefgh") for _ in range(r.randrange(1, 6))} for k in range(60)} | {99: {f"p{i}" for i in range(9)}}
+    flat = [(k, p) for k, s in sets.items() for p in s]
+    flat += flat[::7]
+    df = spark.createDataFrame([(k, "x", 0, p, 1) for k, p in flat] + [(None, "x", 0, p, 1) for p in "ab"], "commit_idx int, author string, pos int, path string, changes int")
+    want = {}
+    for s in sets.values():
+        if 2 <= len(s) <= 4:
+            for pair in itertools.combinations(sorted(s), 2):
+                want[pair] = want.get(pair, 0) + 1
+    got = {(x.a, x.b): x.co_commits for x in churn.cochange_pairs(df, 0.0, max_paths=4).collect()}
+    assert got == {k: n for k, n in want.items() if n >= churn.MIN_CO_COMMITS}
