@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import churn, insights, text
-from .adapters import table
+from .adapters import spread, table
 
 _DIRS = ["bin/", "src/", "tests/", "docs/", ""]
 _NAMES = ["main", "f", "test_", "server", "util"]
@@ -28,7 +28,7 @@ def _pick(values: list[str], c) -> object:
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     """(path, text): two of the texts above, and lines that depend on the part's name and brand."""
-    p = table(spark, d, "part")
+    p = spread(table(spark, d, "part").select("p_partkey", "p_size", "p_name", "p_brand"), "p_partkey")
     k = F.col("p_partkey")
     path = F.concat(_pick(_DIRS, k), _pick(_NAMES, F.col("p_size")), F.when(k % 3 == 0, F.lit("")).otherwise(k.cast("string")), F.when(k % 3 == 0, F.concat(F.lit("/x"), k.cast("string"))).otherwise(F.lit("")), _pick(_EXTS, F.floor(k / 5)))
     own = F.concat(F.lit("tool "), F.substring_index("p_name", " ", 1), F.lit("\nsee lib/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(".sh\n"))

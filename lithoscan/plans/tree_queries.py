@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import notebook, signatures, tree
 from ..session import checkpoint
-from .adapters import table
+from .adapters import spread, table
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +122,7 @@ def signatures_python(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", "p_size", F.regexp_replace("p_type", "[^A-Za-z]", "").alias("t"))
+    p = spread(table(spark, d, "part").select("p_partkey", "p_size", F.regexp_replace("p_type", "[^A-Za-z]", "").alias("t")), "p_partkey")
     text = F.concat(F.lit('"""Part '), F.col("p_partkey").cast("string"), F.lit('."""\n\nclass '), "t", F.lit(':\n    def size(self):\n        return '), F.col("p_size").cast("string"), F.lit("\n\ndef f"), F.col("p_partkey").cast("string"), F.lit("(a, b=1):\n    pass\n"))
     return p.select(F.concat(F.lit("m/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("text"), F.col("p_size").cast("bigint").alias("loc"))
 

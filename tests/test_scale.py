@@ -4,6 +4,7 @@ import itertools
 import random
 
 from lithoscan.operators import churn, graph, imports
+from lithoscan.plans import adapters, insight_queries, tree_queries
 
 
 def counted(df, log):
@@ -57,6 +58,14 @@ def test_python_resolution_by_stems_is_that_of_candidates(spark):
     assert {x.is_internal for x in mine.collect()} == {True, False}
 
 
+def test_small_tables_are_spread(spark, sf_dir):
+    least = spark.sparkContext.defaultParallelism
+    for df in (insight_queries._files(spark, sf_dir), tree_queries._sources(spark, sf_dir), insight_queries._files(spark, sf_dir).filter("length(text) > 3")):
+        assert df.rdd.getNumPartitions() >= least
+    one = adapters.table(spark, sf_dir, "part")
+    assert one.rdd.getNumPartitions() == 1 and rows(adapters.spread(one, "p_partkey")) == rows(one)
+
+
 def test_betweenness_reads_its_edges_once(spark, tmp_path):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
     assert {r.node: r.betweenness for r in graph.betweenness(counted(e, tmp_path / "log")).collect()} == {"a": 1.0, "b": 2.0, "c": 3.0, "d": 0.0}
